@@ -46,13 +46,16 @@ FAILURES = T.StructType(
 )
 
 
+IS_TEXT = "typeof(class) LIKE 'string%' AS is_text"
+
+
 @dataclass(frozen=True)
 class Limits:
     """Sizes of the work; none of them changes a result."""
 
     queries_per_job: int = 25
     conditions_per_job: int = 60
-    parallel_jobs: int = 4
+    parallel_jobs: int = 8
     texts_per_page: int = 2000
     seconds_per_job: float | None = None
 
@@ -64,48 +67,34 @@ class Candidate:
     label_col: str
 
 
-def count_classes(df: DataFrame, label_col: str) -> DataFrame:
-    """``class, is_text, n`` of one result.
+def count_classes(df: DataFrame, label_col: str, key: str) -> DataFrame:
+    """``query_key, class, is_text, n`` of one result.
 
     ``is_text`` tells whether the label can equal a text value at all: the number 1 is
     not the text '1'.
     """
-    counted = df.groupBy(F.col(quoted(label_col)).alias("class")).agg(
-        F.count(F.lit(1)).alias("n")
+    counted = df.groupBy(F.col(quoted(label_col)).alias("class")).agg(F.expr("count(1) AS n"))
+    return counted.selectExpr(
+        f"'{key}' AS query_key", "CAST(class AS STRING) AS class", IS_TEXT, "n"
     )
-    is_text = isinstance(counted.schema["class"].dataType, T.StringType)
-    return counted.select(
-        F.col("class").cast("string").alias("class"), F.lit(is_text).alias("is_text"), "n"
-    )
-
-
-def _keyed(key: str, counts: DataFrame) -> DataFrame:
-    return counts.select(F.lit(key).alias("query_key"), "class", "is_text", "n")
-
-
-def count_queries(frames: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """Class counts of several results, as one plan."""
-    parts = [_keyed(key, count_classes(df, label)) for key, df, label in frames]
-    return reduce(DataFrame.unionByName, parts)
 
 
 def count_conditions(
     table: DataFrame, conditions: Sequence[tuple[str, str]], label_col: str
 ) -> DataFrame:
-    """Class counts of several conditions over one table, in a single scan."""
-    counters = [
-        F.count_if(F.expr(text)).alias(f"n{i}") for i, (_, text) in enumerate(conditions)
-    ]
-    wide = table.groupBy(F.col(quoted(label_col)).alias("class")).agg(*counters)
-    is_text = isinstance(wide.schema["class"].dataType, T.StringType)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(key).alias("query_key"), F.col(f"n{i}").alias("n"))
-            for i, (key, _) in enumerate(conditions)
-        ]
+    """Class counts of several conditions over one table, in a single scan.
+
+    Conditions have been parsed alone before, so in parentheses each remains one expression.
+    """
+    counters = ", ".join(f"count_if((\n{text}\n))" for _, text in conditions)
+    keys = ", ".join(f"'{key}'" for key, _ in conditions)
+    wide = table.groupBy(F.col(quoted(label_col)).alias("class")).agg(
+        F.expr(f"array({counters}) AS ns")
+    )
+    long = wide.selectExpr("class", "posexplode(ns) AS (i, n)").where("n > 0")
+    return long.selectExpr(
+        f"array({keys})[i] AS query_key", "CAST(class AS STRING) AS class", IS_TEXT, "n"
     )
-    long = wide.select(F.col("class").cast("string").alias("class"), F.inline(pairs))
-    return long.where("n > 0").select("query_key", "class", F.lit(is_text).alias("is_text"), "n")
 
 
 @contextmanager
@@ -232,6 +221,10 @@ def _pages(rows: Iterable, size: int) -> Iterator[list]:
         yield page
 
 
+def _united(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.union, [counts for _, counts in frames])
+
+
 def _chunks(items: Sequence, size: int) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
@@ -261,16 +254,17 @@ def run_queries(
                         runner.fail(candidate.key, refusal)
                         continue
                     try:
-                        df = spark.sql(candidate.text)
-                        count_classes(df, candidate.label_col)
+                        result = spark.sql(candidate.text)
+                        counts = count_classes(result, candidate.label_col, candidate.key)
                     except Exception as error:  # wrong text scores, it does not stop the run
                         runner.fail(candidate.key, _status_of(error))
                         continue
-                    planned.append((candidate.key, df, candidate.label_col))
+                    planned.append((candidate.key, counts))
             _run_chunks(
+                spark,
                 limits,
                 [
-                    lambda chunk=chunk: runner.write(chunk, count_queries)
+                    lambda chunk=chunk: runner.write(chunk, _united)
                     for chunk in _chunks(planned, limits.queries_per_job)
                 ],
             )
@@ -303,8 +297,8 @@ def run_conditions(
             for label, conditions in by_label.items():
                 shared = lambda chunk, label=label: count_conditions(table, chunk, label)
                 # A condition that does not fit into an aggregate may still work as a filter.
-                single = lambda chunk, label=label: _keyed(
-                    chunk[0][0], count_classes(table.where(F.expr(chunk[0][1])), label)
+                single = lambda chunk, label=label: count_classes(
+                    table.where(F.expr(chunk[0][1])), label, chunk[0][0]
                 )
                 jobs += [
                     lambda chunk=chunk, shared=shared, single=single: runner.write(
@@ -312,18 +306,18 @@ def run_conditions(
                     )
                     for chunk in _chunks(conditions, limits.conditions_per_job)
                 ]
-            _run_chunks(limits, jobs)
+            _run_chunks(spark, limits, jobs)
         runner.flush_failures()
     return runner.results()
 
 
-def _run_chunks(limits: Limits, jobs: Sequence[Callable[[], None]]) -> None:
+def _run_chunks(spark: SparkSession, limits: Limits, jobs: Sequence[Callable[[], None]]) -> None:
     """Several chunks at once, so that small jobs do not leave the cluster idle."""
     if len(jobs) <= 1 or limits.parallel_jobs <= 1:
         for job in jobs:
             job()
         return
     with ThreadPoolExecutor(max_workers=limits.parallel_jobs) as pool:
-        running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
         for future in running:
             future.result()

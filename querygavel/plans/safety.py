@@ -33,6 +33,13 @@ READING_NODES = frozenset(
 FORBIDDEN_FUNCTIONS = frozenset(("reflect", "java_method", "try_reflect"))
 SUSPICIOUS = re.compile(r"\b(reflect|java_method|try_reflect|identifier)\b", re.IGNORECASE)
 
+# Every subquery has one of these words; functions to look at are listed above.
+QUERY_WORD = re.compile(
+    r"\b(select|from|table|values|with|map|reduce|transform|"
+    r"reflect|java_method|try_reflect|identifier|positional)\b",
+    re.IGNORECASE,
+)
+
 # Spark would read this as an alias and a cross join.
 MISREAD_JOIN = re.compile(r"\bpositional\s+join\b", re.IGNORECASE)
 
@@ -50,6 +57,7 @@ def candidate_settings(spark: SparkSession):
         "spark.sql.ansi.enabled": "true",
         "spark.sql.ansi.doubleQuotedIdentifiers": "true",
         "spark.sql.runSQLOnFiles": "false",
+        "spark.sql.timeType.enabled": "true",
     }
     before = {name: spark.conf.get(name, None) for name in wanted}
     try:
@@ -90,6 +98,8 @@ class TextGuard:
                 session.sessionState().sqlParser().parseExpression(predicate)
             except ParseException:
                 return PARSE_ERROR
+            if not QUERY_WORD.search(predicate):
+                return None
         return TextGuard(self.spark, self.tables | {"condition_probe"}).check(
             f"select 1 from condition_probe where (\n{predicate}\n)"
         )
