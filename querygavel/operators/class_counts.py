@@ -138,40 +138,53 @@ class _Runner:
             self._failures.append((key, status))
 
     def write(self, chunk: Sequence, build: Callable[[Sequence], DataFrame], alone=None) -> None:
-        """Run one chunk, in halves again when it fails."""
-        path = f"{self.folder}/counts/{uuid.uuid4().hex}"
-        with _deadline(self.spark, self.limits.seconds_per_job) as over:
-            try:
-                build(chunk).hint("rebalance").write.parquet(path)
-                with self._lock:
-                    self.count_paths.append(path)
-                return
-            except Exception as error:  # any failure counts against the candidate
-                if len(chunk) == 1:
-                    if alone is not None:
-                        retry = alone
-                    elif over.is_set() or _is_data_error(error):
-                        self.fail(chunk[0][0], TIMEOUT if over.is_set() else _status_of(error))
-                        return
-                    else:
-                        retry = None
-        if len(chunk) > 1:
+        """Run one chunk. When it fails, those that cannot even be planned are set apart,
+        and the rest runs again in halves.
+
+        ``alone`` is another way to run a single candidate, tried before it counts as failed.
+        """
+        if len(chunk) == 1:
+            self._write_single(chunk, build, alone)
+            return
+        try:
+            with _deadline(self.spark, self.limits.seconds_per_job):
+                self._write_counts(build(chunk).hint("rebalance"))
+            return
+        except AnalysisException:
+            plannable = [one for one in chunk if _can_plan(build, one)]
+        except Exception:  # any failure counts against some candidate of the chunk
+            plannable = chunk
+        if len(plannable) < len(chunk):
+            for one in chunk:
+                if one not in plannable:
+                    self._write_single([one], build, alone)
+            if plannable:
+                self.write(plannable, build, alone)
+        else:
             middle = len(chunk) // 2
             self.write(chunk[:middle], build, alone)
             self.write(chunk[middle:], build, alone)
-        else:
-            self._retry_alone(chunk, retry or build)
 
-    def _retry_alone(self, chunk: Sequence, build: Callable[[Sequence], DataFrame]) -> None:
-        """A second try, since the first may have died with an executor."""
+    def _write_single(self, chunk: Sequence, build, alone) -> None:
+        """Up to two tries, since the first may have died with an executor."""
+        tries = [alone or build] * 2
+        for number, way in enumerate(tries, 1):
+            with _deadline(self.spark, self.limits.seconds_per_job) as over:
+                try:
+                    self._write_counts(way(chunk))
+                    return
+                except Exception as error:  # a failing candidate scores, it does not stop the run
+                    final = number == len(tries) or over.is_set() or _is_data_error(error)
+                    status = TIMEOUT if over.is_set() else _status_of(error)
+            if final:
+                self.fail(chunk[0][0], status)
+                return
+
+    def _write_counts(self, counts: DataFrame) -> None:
         path = f"{self.folder}/counts/{uuid.uuid4().hex}"
-        with _deadline(self.spark, self.limits.seconds_per_job) as over:
-            try:
-                build(chunk).write.parquet(path)
-                with self._lock:
-                    self.count_paths.append(path)
-            except Exception as error:
-                self.fail(chunk[0][0], TIMEOUT if over.is_set() else _status_of(error))
+        counts.write.parquet(path)
+        with self._lock:
+            self.count_paths.append(path)
 
     def flush_failures(self) -> None:
         if not self._failures:
@@ -221,6 +234,14 @@ def _pages(rows: Iterable, size: int) -> Iterator[list]:
         yield page
 
 
+def _can_plan(build: Callable[[Sequence], DataFrame], one) -> bool:
+    try:
+        build([one])
+        return True
+    except AnalysisException:
+        return False
+
+
 def _united(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.union, [counts for _, counts in frames])
 
