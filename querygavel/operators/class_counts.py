@@ -267,28 +267,19 @@ def run_queries(
         df.createOrReplaceTempView(name)
     try:
         for page in _pages(_candidates(distinct), limits.texts_per_page):
-            planned = []
+            harmless = []
             with candidate_settings(spark):
                 for candidate in page:
                     refusal = guard.check(candidate.text)
                     if refusal:
                         runner.fail(candidate.key, refusal)
-                        continue
-                    try:
-                        result = spark.sql(candidate.text)
-                        counts = count_classes(result, candidate.label_col, candidate.key)
-                    except Exception as error:  # wrong text scores, it does not stop the run
-                        runner.fail(candidate.key, _status_of(error))
-                        continue
-                    planned.append((candidate.key, counts))
-            _run_chunks(
-                spark,
-                limits,
-                [
-                    lambda chunk=chunk: runner.write(chunk, _united)
-                    for chunk in _chunks(planned, limits.queries_per_job)
-                ],
-            )
+                    else:
+                        harmless.append(candidate)
+                jobs = [
+                    lambda chunk=chunk: _count_texts(runner, chunk)
+                    for chunk in _chunks(harmless, limits.queries_per_job)
+                ]
+                _run_chunks(spark, limits, jobs)
             runner.flush_failures()
     finally:
         for name in views:
@@ -296,6 +287,20 @@ def run_queries(
     return runner.results()
 
 
+def _count_texts(runner: _Runner, chunk: Sequence[Candidate]) -> None:
+    """Plan the texts of a chunk and run those that can be planned."""
+    planned = []
+    for candidate in chunk:
+        try:
+            result = runner.spark.sql(candidate.text)
+            counts = count_classes(result, candidate.label_col, candidate.key)
+            planned.append((candidate.key, counts))
+        except Exception as error:  # wrong text scores, it does not stop the run
+            runner.fail(candidate.key, _status_of(error))
+    if planned:
+        runner.write(planned, _united)
+
+
 def run_conditions(
     distinct: DataFrame, table: DataFrame, limits: Limits = Limits()
 ) -> tuple[DataFrame, DataFrame]:

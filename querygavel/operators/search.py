@@ -11,6 +11,9 @@ from querygavel.session import scratch_path
 K1 = 1.2
 B = 0.75
 
+# Query words up to this number of rows, some tens of megabytes, are broadcast.
+BROADCAST_ROWS = 500_000
+
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 # No word is empty, so this term is free to stand for the whole corpus.
@@ -33,7 +36,8 @@ def corpus_statistics(docs: DataFrame, terms: DataFrame, text: str = "text") ->
         F.array_distinct("_words"),
         lambda w: F.struct(w.alias("term"), F.lit(0).cast("bigint").alias("n_words")),
     )
-    rows = each.select(F.inline(F.concat(F.array(own), per_term)))
+    # The outer form keeps Spark from testing the array's size, which would build it twice.
+    rows = each.select(F.inline_outer(F.concat(F.array(own), per_term)))
     wanted = terms.select("term").unionByName(
         docs.sparkSession.range(1).select(F.lit(CORPUS_TERM).alias("term"))
     )
@@ -61,24 +65,31 @@ def bm25_search(
     once and stay there, up to the k best rows per task and query.
     """
     spark = docs.sparkSession
+    place = scratch_path(spark, "bm25")
     asked = queries.select(query_id, F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    path = scratch_path(spark, "bm25")
-    corpus_statistics(docs, asked, text).write.parquet(path)
-    statistics = spark.read.parquet(path)
+    corpus_statistics(docs, asked, text).write.parquet(f"{place}/statistics")
+    statistics = spark.read.parquet(f"{place}/statistics")
     corpus = statistics.where(F.col("term") == CORPUS_TERM)
     n_docs = corpus.select(F.col("n_docs").cast("double")).scalar()
     mean_length = corpus.select(
         F.col("n_words").cast("double") / F.col("n_docs").cast("double")
     ).scalar()
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))
+    known = statistics.where(F.col("term") != CORPUS_TERM)
+    asked.join(known, "term").select(query_id, "term", idf.alias("idf")).write.parquet(f"{place}/weights")
+    weights = spark.read.parquet(f"{place}/weights")
+    # The queries' words are sent to every task only while there are few of them.
+    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    terms = weights.select("term").distinct()
+    if few:
+        weights, terms = F.broadcast(weights), F.broadcast(terms)
 
-    weights = statistics.where(F.col("term") != CORPUS_TERM).select(
-        "term",
-        F.log(F.lit(1.0) + (n_docs - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5)).alias("idf"),
+    counted = docs.select(F.col(doc_id), words(F.col(text)).alias("_words")).withColumn(
+        "_length", F.size("_words")
     )
     postings = (
-        docs.select(F.col(doc_id), words(F.col(text)).alias("_words"))
-        .select(doc_id, F.size("_words").alias("_length"), F.explode("_words").alias("term"))
-        .join(statistics.select("term"), "term", "left_semi")
+        counted.select(doc_id, "_length", F.explode_outer("_words").alias("term"))
+        .join(terms, "term", "left_semi")
         .repartition(doc_id)
         .groupBy(doc_id, "_length", "term")
         .agg(F.count(F.lit(1)).cast("double").alias("tf"))
@@ -86,9 +97,10 @@ def bm25_search(
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("_length") / mean_length)
     gain = F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + norm)
     scored = (
-        postings.join(asked.join(weights, "term"), "term")
+        postings.withColumn("gain", gain)
+        .join(weights, "term")
         .groupBy(query_id, doc_id)
-        .agg(F.round(F.sum(F.col("idf") * gain), digits).alias("score"))
+        .agg(F.round(F.sum(F.col("idf") * F.col("gain")), digits).alias("score"))
     )
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(doc_id))
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
