@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,23 @@ SYSTEM_TEXT = (
 END_OF_MESSAGE = "<|im_end|>"
 RENDERED_ROLES = ("user", "assistant")
 
-# The texts around a request.
-REQUEST_OPENING = "Write a DuckDB SQL query that solves the request\n"
+# The user messages, with the names of the texts they hold in braces.
+REQUEST_WITH_SCHEMA = (
+    "Write a DuckDB SQL query that solves the request\n"
+    "SQL Context:\n{schema}\n\n"
+    "Request:\n{prompt}"
+)
+REQUEST_ALONE = "Write a DuckDB SQL query that solves the request\n\nRequest:\n{prompt}"
+SCORING_REQUEST = "{question_context}\nRequest:\n{question}\n\nSQL Context:\n\n{sql_context}\n\n"
+
+
+def fill(template: str, **texts: Column) -> Column:
+    """A template with columns in place of the names in braces."""
+    pieces = [
+        (F.lit(literal), texts[name] if name else F.lit(""))
+        for literal, name, _, _ in Formatter().parse(template)
+    ]
+    return F.concat(*[column for pair in pieces for column in pair])
 
 
 def message(role: str, content: Column) -> Column:
@@ -32,10 +49,8 @@ def text_to_sql_chat(prompt: Column, query: Column, schema: Column) -> Column:
     The query is trimmed, the prompt is not; a missing schema counts as empty.
     """
     context = F.coalesce(schema, F.lit(""))
-    with_context = F.concat(
-        F.lit(REQUEST_OPENING + "SQL Context:\n"), context, F.lit("\n\nRequest:\n"), prompt
-    )
-    bare = F.concat(F.lit(REQUEST_OPENING + "\nRequest:\n"), prompt)
+    with_context = fill(REQUEST_WITH_SCHEMA, schema=context, prompt=prompt)
+    bare = fill(REQUEST_ALONE, prompt=prompt)
     return F.array(
         message("system", F.lit(SYSTEM_TEXT)),
         message("user", F.when(context != "", with_context).otherwise(bare)),
@@ -50,13 +65,11 @@ def filled(text: Column) -> Column:
 
 def scoring_prompt(question_context: Column, question: Column, sql_context: Column) -> Column:
     """System and user message that ask for a query."""
-    user = F.concat(
-        filled(question_context),
-        F.lit("\nRequest:\n"),
-        filled(question),
-        F.lit("\n\nSQL Context:\n\n"),
-        filled(sql_context),
-        F.lit("\n\n"),
+    user = fill(
+        SCORING_REQUEST,
+        question_context=filled(question_context),
+        question=filled(question),
+        sql_context=filled(sql_context),
     )
     return F.array(message("system", F.lit(SYSTEM_TEXT)), message("user", user))
 

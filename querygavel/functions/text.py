@@ -15,7 +15,9 @@ PYTHON_WHITESPACE = (
 # Fixed value: the stand-in for a model vocabulary, a word or one punctuation mark.
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9 \n\t\r]"
 
+# The mark of a code fence, and its opening with an optional language name.
 FENCE = "```"
+FENCE_OPENING = "^```(?:sql)?"
 
 
 def py_strip(text: Column) -> Column:
@@ -31,7 +33,7 @@ def is_blank(text: Column) -> Column:
 def strip_fence(text: Column) -> Column:
     """Take the body out of a code fence, when the text starts with one."""
     trimmed = py_strip(text)
-    opened = py_strip(F.regexp_replace(trimmed, "(?iu)^```(?:sql)?", ""))
+    opened = py_strip(F.regexp_replace(trimmed, f"(?iu){FENCE_OPENING}", ""))
     closed = py_strip(F.left(opened, F.length(opened) - 3))
     body = F.when(F.endswith(opened, F.lit(FENCE)), closed).otherwise(opened)
     return F.when(F.startswith(trimmed, F.lit(FENCE)), body).otherwise(trimmed)

@@ -52,7 +52,11 @@ def asof_join(
     bucket = F.greatest(F.lit(-1), F.least(F.lit(buckets), F.floor((at - start) / step)))
     points = rights.withColumn("_side", F.lit(0)).unionByName(lefts).withColumn("_bucket", bucket)
 
-    before = Window.partitionBy("_by", "_bucket").orderBy("_at", "_side")
+    before = (
+        Window.partitionBy("_by", "_bucket")
+        .orderBy("_at", "_side")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     near = points.withColumn("_near", F.last("_found", ignorenulls=True).over(before)).where(
         F.col("_side") == 1
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querygavel.functions.chat import END_OF_MESSAGE, RENDERED_ROLES, SYSTEM_TEXT
@@ -12,12 +14,16 @@ from querygavel.functions.text import token_count
 SEGMENT_TURNS = 64
 
 
-def chat_lengths(turns: DataFrame, system_text: str = SYSTEM_TEXT) -> DataFrame:
+def chat_lengths(
+    turns: DataFrame,
+    system_text: str = SYSTEM_TEXT,
+    counter: Callable[[Column], Column] = token_count,
+) -> DataFrame:
     """``conv_id, n_tokens`` of the rendered chat, every end mark being one token.
 
     A sum and two minima per chat, combined before the shuffle: no chat is gathered.
     """
-    tokens = token_count(F.col("text")) + 1
+    tokens = counter(F.col("text")) + 1
     kept = F.col("role").isin(*RENDERED_ROLES)
     # The first turn counts as opening if it is a system turn, else the default text opens.
     opening = F.struct(
@@ -26,7 +32,7 @@ def chat_lengths(turns: DataFrame, system_text: str = SYSTEM_TEXT) -> DataFrame:
     per_chat = turns.groupBy("conv_id").agg(
         F.sum(F.when(kept, tokens).otherwise(0)).alias("body"), F.min(opening).alias("first")
     )
-    default = token_count(F.lit(system_text)) + 1
+    default = counter(F.lit(system_text)) + 1
     return per_chat.select(
         "conv_id",
         (

@@ -11,6 +11,7 @@ A chunk that fails is halved until the failing candidate stands alone.
 
 from __future__ import annotations
 
+import math
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Callable, Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -190,7 +192,9 @@ class _Runner:
         if not self._failures:
             return
         path = f"{self.folder}/failures/{uuid.uuid4().hex}"
-        self.spark.createDataFrame(self._failures, FAILURES).coalesce(1).write.parquet(path)
+        keys, statuses = zip(*self._failures)
+        failed = pa.table({"query_key": pa.array(keys), "status": pa.array(statuses)})
+        self.spark.createDataFrame(failed, FAILURES).coalesce(1).write.parquet(path)
         self.failure_paths.append(path)
         self._failures = []
 
@@ -246,6 +250,11 @@ def _united(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.union, [counts for _, counts in frames])
 
 
+def _share(n_texts: int, limits: Limits) -> int:
+    """Texts per job: enough jobs to run side by side, none larger than allowed."""
+    return max(1, min(limits.queries_per_job, math.ceil(n_texts / limits.parallel_jobs)))
+
+
 def _chunks(items: Sequence, size: int) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
@@ -277,7 +286,7 @@ def run_queries(
                         harmless.append(candidate)
                 jobs = [
                     lambda chunk=chunk: _count_texts(runner, chunk)
-                    for chunk in _chunks(harmless, limits.queries_per_job)
+                    for chunk in _chunks(harmless, _share(len(harmless), limits))
                 ]
                 _run_chunks(spark, limits, jobs)
             runner.flush_failures()

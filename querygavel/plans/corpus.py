@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querygavel.functions.categories import KEPT_CATEGORIES, keep_categories
@@ -16,10 +18,12 @@ def build_corpus(
     kept=KEPT_CATEGORIES,
     budget: int = TOKEN_BUDGET,
     small: bool = False,
+    counter: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``ordinal, prompt, query, schema, messages, n_tokens, text`` from prompt/query pairs.
 
-    One lazy plan without a shuffle, but for the small run's head.
+    One lazy plan without a shuffle, but for the small run's head. ``counter`` counts the
+    tokens of the rendered text in place of the built-in stand-in.
     """
     pairs = keep_categories(rows, "category", kept).select(ordinal, "prompt", "query", "schema")
     if small:
@@ -27,6 +31,8 @@ def build_corpus(
     chats = pairs.withColumn(
         "messages", text_to_sql_chat(F.col("prompt"), F.col("query"), F.col("schema"))
     )
-    sized = chats.withColumn("n_tokens", rendered_tokens(F.col("messages")))
+    messages = F.col("messages")
+    n_tokens = counter(render(messages)) if counter else rendered_tokens(messages)
+    sized = chats.withColumn("n_tokens", n_tokens)
     fitting = within_budget(sized, "n_tokens", ordinal, budget)
     return fitting.withColumn("text", render(F.col("messages")))

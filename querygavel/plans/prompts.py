@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querygavel.functions.chat import filled, rendered_tokens, scoring_prompt
+from querygavel.functions.chat import filled, render, rendered_tokens, scoring_prompt
 from querygavel.operators.lengths import (
     EVAL_ROWS,
     SMALL_EVAL_ROWS,
@@ -42,11 +44,17 @@ def prompt_rows(rows: DataFrame) -> DataFrame:
 
 
 def build_prompts(
-    rows: DataFrame, ordinal: str, small: bool = False, mode: str = "head"
+    rows: DataFrame,
+    ordinal: str,
+    small: bool = False,
+    mode: str = "head",
+    counter: Callable[[Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Prompts for training and for evaluation, without the longest tenth."""
     if small:
         rows = head(rows, ordinal, SMALL_PROMPTS)
-    prompts = prompt_rows(rows).withColumn("n_tokens", rendered_tokens(F.col("prompt")))
+    prompt = F.col("prompt")
+    n_tokens = counter(render(prompt)) if counter else rendered_tokens(prompt)
+    prompts = prompt_rows(rows).withColumn("n_tokens", n_tokens)
     kept = cut_long(prompts, "n_tokens")
     return eval_sample(kept, ordinal, SMALL_EVAL_ROWS if small else EVAL_ROWS, mode)

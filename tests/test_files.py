@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from querygavel.functions.categories import KEPT_CATEGORIES, keep_categories
+from querygavel.functions.tokens import tokenizer_count
+from querygavel.operators.chats import chat_lengths
 from querygavel.plans.corpus import build_corpus
 from querygavel.plans.prompts import build_prompts, prompt_rows
 from querygavel.session import scratch_path, shared_root
@@ -80,6 +82,18 @@ def test_corpus_plan(spark, tmp_path):
     assert "Join" not in plan and "CartesianProduct" not in plan
 
 
+def test_external_tokenizer(spark):
+    rows = spark.createDataFrame(
+        [(0, "sql/aggregates", "p q", "a", None), (1, "sql/aggregates", "p", "a b c", None)],
+        "id long, category string, prompt string, query string, schema string",
+    )
+    count = tokenizer_count(lambda: str.split)
+    built = {r.id: (r.n_tokens, r.text) for r in build_corpus(rows, "id", counter=count).collect()}
+    assert len(built) == 2 and all(n == len(text.split()) for n, text in built.values())
+    turns = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    assert chat_lengths(turns, "x y z", count).first().n_tokens == 4 + 3 + 1
+
+
 def test_reward_log_over_splits(spark, tmp_path):
     lines = [f"{(i % 7) - 5 + 0.25}, {i / 10}" for i in range(2000)]
     (tmp_path / "a.log").write_text("\n".join(lines) + "\n{'train_runtime': 12.5, 'train_loss': 0.0016, 'epoch': 214.29\n")

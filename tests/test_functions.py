@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -37,34 +35,41 @@ def test_negative_counts_are_kept(spark):
     assert (row.fn, row.recall) == (-2, 2.0)
 
 
-def plain_strip_fence(text):
-    text = text.strip()
-    if text.startswith("```"):
-        text = re.sub(r"^```(?:sql)?", "", text, flags=re.IGNORECASE).strip()
-        if text.endswith("```"):
-            text = text[:-3].strip()
-    return text
-
-
-FENCES = ["```sql\nx\n```", "```SQLx```", "``` y", "a\n```sql\nb\n```", "```", "``````", " \n```\n\n```\t", "````x````", "", "x"]
+FENCES = {
+    "```sql\nx\n```": "x",
+    "```SQLx```": "x",
+    "\t```Sql\n\n x \n```\n": "x",
+    "``` y": "y",
+    "a\n```sql\nb\n```": "a\n```sql\nb\n```",
+    "```": "",
+    "``````": "",
+    " \n```\n\n```\t": "",
+    "```x``` tail": "x``` tail",
+    "```sql\nselect 1\n```\n```": "select 1\n```",
+    "": "",
+    " x ": "x",
+}
 
 
 def test_fences(spark):
     rows = spark.createDataFrame([(t,) for t in FENCES], "t string").select(
         "t", strip_fence(F.col("t")).alias("s")
     )
-    assert {r.t: r.s for r in rows.collect()} == {t: plain_strip_fence(t) for t in FENCES}
+    assert {r.t: r.s for r in rows.collect()} == FENCES
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="` sqSQL\n\t\x1c\xa0　xé", max_size=14), min_size=1, max_size=30))
-def test_strip_and_fence_like_python(spark, texts):
+@given(st.lists(st.text(alphabet="ab SQL\n\t\x1c\xa0\u3000x\u00e9", max_size=14), min_size=1, max_size=30))
+def test_strip_like_python_and_fences_come_off(spark, texts):
+    text = F.col("t")
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
-        "t", py_strip(F.col("t")).alias("s"), strip_fence(F.col("t")).alias("f")
+        "t",
+        py_strip(text).alias("bare"),
+        strip_fence(text).alias("unfenced"),
+        strip_fence(F.concat(F.lit(" ```sql\n"), text, F.lit("\n```\n"))).alias("fenced"),
     )
     for row in rows.collect():
-        assert row.s == row.t.strip()
-        assert row.f == plain_strip_fence(row.t)
+        assert row.bare == row.unfenced == row.fenced == row.t.strip()
 
 
 def test_counts(spark):
