@@ -35,14 +35,13 @@ def class_mix(
     """
     chosen = F.lit(False)
     for name, cap in caps.items():
+        if cap <= 0:
+            continue
         of_class = F.col(quoted(label)) == name
         values = df.where(of_class).select(F.col(order_by).alias("v"))
-        size = values.count() if cap > 0 else 0
-        if cap >= size:
-            chosen = chosen | (of_class & F.lit(cap > 0))
-        elif cap > 0:
-            (last,) = values_at_ranks(values, (cap - 1,), direct_values)
-            chosen = chosen | (of_class & (F.col(order_by) <= F.lit(last)))
+        last = values_at_ranks(values, lambda n, cap=cap: [cap - 1] if cap < n else [], direct_values)
+        # A class that is not larger than its cap is taken whole.
+        chosen = chosen | (of_class & (F.col(order_by) <= F.lit(last[0])) if last else of_class)
     mixed = df.where(chosen)
     return mixed.distinct() if distinct else mixed
 

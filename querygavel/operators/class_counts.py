@@ -53,10 +53,16 @@ IS_TEXT = "typeof(class) LIKE 'string%' AS is_text"
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes of the work; none of them changes a result."""
+    """Sizes of the work; none of them changes a result.
+
+    Conditions that share a scan also share generated code. Beyond some fifty comparisons
+    the JVM no longer compiles it and each row costs several times as much, hence the bound
+    on their text.
+    """
 
     queries_per_job: int = 25
-    conditions_per_job: int = 60
+    conditions_per_job: int = 48
+    condition_chars_per_job: int = 800
     parallel_jobs: int = 8
     texts_per_page: int = 2000
     seconds_per_job: float | None = None
@@ -339,13 +345,27 @@ def run_conditions(
                     lambda chunk=chunk, shared=shared, single=single: runner.write(
                         chunk, shared, single
                     )
-                    for chunk in _chunks(conditions, limits.conditions_per_job)
+                    for chunk in _scan_chunks(conditions, limits)
                 ]
             _run_chunks(spark, limits, jobs)
         runner.flush_failures()
     return runner.results()
 
 
+def _scan_chunks(conditions: Sequence[tuple[str, str]], limits: Limits) -> Iterator[list]:
+    """Conditions that share a scan: bounded in number and in length together."""
+    chunk, chars = [], 0
+    for key, text in conditions:
+        full = len(chunk) == limits.conditions_per_job
+        if chunk and (full or chars + len(text) > limits.condition_chars_per_job):
+            yield chunk
+            chunk, chars = [], 0
+        chunk.append((key, text))
+        chars += len(text)
+    if chunk:
+        yield chunk
+
+
 def _run_chunks(spark: SparkSession, limits: Limits, jobs: Sequence[Callable[[], None]]) -> None:
     """Several chunks at once, so that small jobs do not leave the cluster idle."""
     if len(jobs) <= 1 or limits.parallel_jobs <= 1:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,37 +14,42 @@ SKETCH_ACCURACY = 10_000
 
 
 def values_at_ranks(
-    values: DataFrame, ranks: Sequence[int], direct_values: int = DIRECT_VALUES
+    values: DataFrame,
+    ranks: Callable[[int], Sequence[int]],
+    direct_values: int = DIRECT_VALUES,
 ) -> list:
     """Values of the column ``v`` at neighbouring ranks, counted from 0; NULLs do not count.
 
+    ``ranks`` names the ranks for a number of values; without ranks the result is empty.
     A sketch brackets the wanted ranks, exact counts check the bracket, and the next pass
     only looks inside it, until few distinct values are left to be ordered. Only single
     rows come to the driver. Every pass reads one column.
     """
     values = values.where(F.col("v").isNotNull())
-    inside, below, low, high = values, 0, None, None
+    inside, below, wanted = values, 0, None
     while True:
         rows, distinct, low, high = inside.agg(
             F.count("v"), F.approx_count_distinct("v"), F.min("v"), F.max("v")
         ).first()
-        if low == high:
-            return [low for _ in ranks]
+        if wanted is None:
+            wanted = ranks(rows)
+        if not wanted or low == high:
+            return [low for _ in wanted]
         if distinct <= direct_values:
             break
         slack = 2.0 / SKETCH_ACCURACY
         ends = [
-            max((ranks[0] - below) / rows - slack, 0.0),
-            min((ranks[-1] - below) / rows + slack, 1.0),
+            max((wanted[0] - below) / rows - slack, 0.0),
+            min((wanted[-1] - below) / rows + slack, 1.0),
         ]
         new_low, new_high = inside.agg(F.percentile_approx("v", ends, SKETCH_ACCURACY)).first()[0]
         before, upto = inside.agg(
             F.count_if(F.col("v") < F.lit(new_low)), F.count_if(F.col("v") <= F.lit(new_high))
         ).first()
         # All ranks must lie inside the bracket; an end that misses them stays where it was.
-        if below + before > ranks[0]:
+        if below + before > wanted[0]:
             new_low, before = low, 0
-        if below + upto <= ranks[-1]:
+        if below + upto <= wanted[-1]:
             new_high = high
         if (new_low, new_high) == (low, high):
             break
@@ -54,7 +59,7 @@ def values_at_ranks(
     upto = F.sum("n").over(Window.orderBy("v")) + F.lit(below)
     reached = counted.select("v", upto.alias("upto"))
     return list(
-        reached.agg(*[F.min(F.when(F.col("upto") > rank, F.col("v"))) for rank in ranks]).first()
+        reached.agg(*[F.min(F.when(F.col("upto") > rank, F.col("v"))) for rank in wanted]).first()
     )
 
 
@@ -65,13 +70,20 @@ def exact_quantile(
 
     Spark's ``percentile`` would keep every distinct value in one aggregate.
     """
-    values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = values.count()
-    if not n:
+    shares = []
+
+    def around(n: int) -> Sequence[int]:
+        if not n:
+            return ()
+        rank = (n - 1) * q
+        shares.append(rank - math.floor(rank))
+        return (math.floor(rank), math.ceil(rank))
+
+    found = values_at_ranks(df.select(value.cast("double").alias("v")), around, direct_values)
+    if not found:
         return None
-    rank = (n - 1) * q
-    left, right = values_at_ranks(values, (math.floor(rank), math.ceil(rank)), direct_values)
-    return left if left == right else left + (right - left) * (rank - math.floor(rank))
+    left, right = found
+    return left if left == right else left + (right - left) * shares[0]
 
 
 def at_least_quantile(
