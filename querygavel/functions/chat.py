@@ -86,17 +86,30 @@ def render(messages: Column, end: str = END_OF_MESSAGE, system_text: str = SYSTE
     return F.concat(opening, F.lit(end), tail)
 
 
-def rendered_tokens(messages: Column, system_text: str = SYSTEM_TEXT) -> Column:
-    """Token number of the rendered chat; every end mark is one token."""
+def rendered_tokens(
+    messages: Column, system_text: str = SYSTEM_TEXT, size: int | None = None
+) -> Column:
+    """Token number of the rendered chat; every end mark is one token.
+
+    With a known ``size`` the messages are counted one by one, which stays in generated
+    code; otherwise by a function over the array.
+    """
+    one = F.lit(1).cast("bigint")
     first = F.get(messages, F.lit(0))
-    opening = F.when(first["role"] == "system", first["content"]).otherwise(F.lit(system_text))
-    kept = F.filter(messages, lambda m: m["role"].isin(*RENDERED_ROLES))
-    body = F.aggregate(
-        kept,
-        F.lit(0).cast("bigint"),
-        lambda total, m: total + token_count(m["content"]) + F.lit(1).cast("bigint"),
+    opening = F.when(first["role"] == "system", token_count(first["content"])).otherwise(
+        token_count(F.lit(system_text))
     )
-    return token_count(opening) + F.lit(1).cast("bigint") + body
+
+    def counted(m: Column) -> Column:
+        return F.when(m["role"].isin(*RENDERED_ROLES), token_count(m["content"]) + one).otherwise(
+            F.lit(0).cast("bigint")
+        )
+
+    if size is None:
+        body = F.aggregate(messages, F.lit(0).cast("bigint"), lambda total, m: total + counted(m))
+    else:
+        body = sum((counted(F.get(messages, F.lit(i))) for i in range(1, size)), counted(first))
+    return opening + one + body
 
 
 def completion_text(completion: Column) -> Column:

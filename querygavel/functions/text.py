@@ -14,6 +14,8 @@ PYTHON_WHITESPACE = (
 
 # Fixed value: the stand-in for a model vocabulary, a word or one punctuation mark.
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9 \n\t\r]"
+WORD_PATTERN = "[A-Za-z0-9]+"
+SPACES = (" ", "\n", "\t", "\r")
 
 # The mark of a code fence, and its opening with an optional language name.
 FENCE = "```"
@@ -52,8 +54,15 @@ def is_bad_count(value: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Number of tokens of a text under TOKEN_PATTERN; 0 for missing text."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN_PATTERN)), F.lit(0)).cast("bigint")
+    """Number of matches of TOKEN_PATTERN in a text; 0 for missing text.
+
+    Words shrink to one letter and spaces go, so the length is the number of tokens.
+    ``regexp_count`` would build every match as a string first and takes twice as long.
+    """
+    marks = F.regexp_replace(text, WORD_PATTERN, "w")
+    for space in SPACES:
+        marks = F.replace(marks, F.lit(space), F.lit(""))
+    return F.coalesce(F.length(marks), F.lit(0)).cast("bigint")
 
 
 def quoted(name: str) -> str:

@@ -139,6 +139,7 @@ class _Runner:
         self.count_paths: list[str] = []
         self.failure_paths: list[str] = []
         self._failures: list[tuple[str, str]] = []
+        self._late: list[tuple] = []
         self._lock = threading.Lock()
 
     def fail(self, key: str, status: str) -> None:
@@ -173,20 +174,35 @@ class _Runner:
             self.write(chunk[:middle], build, alone)
             self.write(chunk[middle:], build, alone)
 
-    def _write_single(self, chunk: Sequence, build, alone) -> None:
-        """Up to two tries, since the first may have died with an executor."""
-        tries = [alone or build] * 2
-        for number, way in enumerate(tries, 1):
+    def _write_single(self, chunk: Sequence, build, alone, last: bool = False) -> None:
+        """Up to two tries, since the first may have died with an executor.
+
+        A candidate that runs out of time next to others gets its full time once more when
+        the cluster is free.
+        """
+        way, status = alone or build, None
+        for final in (False, True):
             with _deadline(self.spark, self.limits.seconds_per_job) as over:
                 try:
                     self._write_counts(way(chunk))
                     return
                 except Exception as error:  # a failing candidate scores, it does not stop the run
-                    final = number == len(tries) or over.is_set() or _is_data_error(error)
                     status = TIMEOUT if over.is_set() else _status_of(error)
+                    final = final or over.is_set() or _is_data_error(error)
             if final:
-                self.fail(chunk[0][0], status)
-                return
+                break
+        if status == TIMEOUT and not last:
+            with self._lock:
+                self._late.append((chunk, build, alone))
+        else:
+            self.fail(chunk[0][0], status)
+
+    def finish(self) -> None:
+        """Give late candidates their second chance, one by one, and write down failures."""
+        late, self._late = self._late, []
+        for chunk, build, alone in late:
+            self._write_single(chunk, build, alone, last=True)
+        self.flush_failures()
 
     def _write_counts(self, counts: DataFrame) -> None:
         path = f"{self.folder}/counts/{uuid.uuid4().hex}"
@@ -295,7 +311,7 @@ def run_queries(
                     for chunk in _chunks(harmless, _share(len(harmless), limits))
                 ]
                 _run_chunks(spark, limits, jobs)
-            runner.flush_failures()
+                runner.finish()
     finally:
         for name in views:
             spark.catalog.dropTempView(name)
@@ -348,7 +364,7 @@ def run_conditions(
                     for chunk in _scan_chunks(conditions, limits)
                 ]
             _run_chunks(spark, limits, jobs)
-        runner.flush_failures()
+            runner.finish()
     return runner.results()
 
 

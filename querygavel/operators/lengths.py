@@ -20,6 +20,15 @@ def head(df: DataFrame, ordinal: str, n: int) -> DataFrame:
     return df.orderBy(ordinal).limit(n)
 
 
+def with_length(df: DataFrame, name: str, length: Column) -> DataFrame:
+    """Add a length that costs a pass over the text.
+
+    As the output of a generator it is counted once per row; as a plain column it would be
+    counted again in every filter that uses it.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(length.alias(name)))))
+
+
 def within_budget(
     df: DataFrame, length: str, ordinal: str, budget: int = TOKEN_BUDGET
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querygavel.functions.categories import KEPT_CATEGORIES, keep_categories
 from querygavel.functions.chat import render, rendered_tokens, text_to_sql_chat
-from querygavel.operators.lengths import SMALL_CORPUS, TOKEN_BUDGET, head, within_budget
+from querygavel.operators.lengths import SMALL_CORPUS, TOKEN_BUDGET, head, with_length, within_budget
 
 
 def build_corpus(
@@ -32,7 +32,7 @@ def build_corpus(
         "messages", text_to_sql_chat(F.col("prompt"), F.col("query"), F.col("schema"))
     )
     messages = F.col("messages")
-    n_tokens = counter(render(messages)) if counter else rendered_tokens(messages)
-    sized = chats.withColumn("n_tokens", n_tokens)
+    n_tokens = counter(render(messages)) if counter else rendered_tokens(messages, size=3)
+    sized = with_length(chats, "n_tokens", n_tokens)
     fitting = within_budget(sized, "n_tokens", ordinal, budget)
     return fitting.withColumn("text", render(F.col("messages")))

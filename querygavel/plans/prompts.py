@@ -15,6 +15,7 @@ from querygavel.operators.lengths import (
     cut_long,
     eval_sample,
     head,
+    with_length,
 )
 from querygavel.sources.candidates import PROMPT_COLUMNS, require_columns
 
@@ -54,7 +55,7 @@ def build_prompts(
     if small:
         rows = head(rows, ordinal, SMALL_PROMPTS)
     prompt = F.col("prompt")
-    n_tokens = counter(render(prompt)) if counter else rendered_tokens(prompt)
-    prompts = prompt_rows(rows).withColumn("n_tokens", n_tokens)
+    n_tokens = counter(render(prompt)) if counter else rendered_tokens(prompt, size=2)
+    prompts = with_length(prompt_rows(rows), "n_tokens", n_tokens)
     kept = cut_long(prompts, "n_tokens")
     return eval_sample(kept, ordinal, SMALL_EVAL_ROWS if small else EVAL_ROWS, mode)

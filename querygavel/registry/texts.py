@@ -9,7 +9,7 @@ from querygavel.functions.categories import in_categories
 from querygavel.functions.chat import END_OF_MESSAGE, SYSTEM_TEXT, rendered_tokens, text_to_sql_chat
 from querygavel.functions.text import TOKEN_PATTERN, is_bad_count, parse_count, strip_fence, token_count
 from querygavel.operators.chats import chat_lengths, render_chats
-from querygavel.operators.lengths import cut_long, eval_sample, head, within_budget
+from querygavel.operators.lengths import cut_long, eval_sample, head, with_length, within_budget
 from querygavel.operators.search import B, K1, bm25_search
 from querygavel.plans.corpus import build_corpus
 from querygavel.plans.prompts import build_prompts, prompt_rows
@@ -179,8 +179,8 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_p90_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = prompt_rows(_prompt_rows(spark, sf_dir)).withColumn(
-        "n_tokens", rendered_tokens(F.col("prompt"))
+    prompts = with_length(
+        prompt_rows(_prompt_rows(spark, sf_dir)), "n_tokens", rendered_tokens(F.col("prompt"), size=2)
     )
     return cut_long(prompts, "n_tokens").select("doc_id", "n_tokens")
 
