@@ -371,16 +371,20 @@ FROM ({nation_scores_sql(True, 'error')})
 
 
 def eval_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values as scores, early and late events as the two phases."""
+    """Event values in whole cents as scores, even and odd events as the two phases.
+
+    Sums of whole numbers are exact in any order, so both sides round the same means.
+    """
+    cents = F.round(F.col("value") * 100)
     records = table(spark, sf_dir, "events").select(
         F.when(F.col("event_id") % 2 == 0, "initial").otherwise("final").alias("phase"),
         F.when(F.col("event_type") != "view", F.col("event_type"))
         .when(F.col("event_id") % 2 == 0, "only_before")
         .otherwise("only_after")
         .alias("positive_value"),
-        F.when(F.col("event_type") != "click", F.col("value"))
+        F.when(F.col("event_type") != "click", cents)
         .when(F.col("event_id") % 2 == 0, F.lit(0.0))
-        .otherwise(F.col("value"))
+        .otherwise(cents)
         .alias("score"),
     )
     changed = rounded(score_change(records), "initial", "final", "percent_change", digits=4)
@@ -392,8 +396,8 @@ WITH r AS (
   SELECT CASE WHEN event_id % 2 = 0 THEN 'initial' ELSE 'final' END AS phase,
     CASE WHEN event_type <> 'view' THEN event_type WHEN event_id % 2 = 0 THEN 'only_before'
          ELSE 'only_after' END AS positive_value,
-    CASE WHEN event_type <> 'click' THEN value WHEN event_id % 2 = 0 THEN CAST(0 AS DOUBLE)
-         ELSE value END AS score FROM events),
+    CASE WHEN event_type <> 'click' THEN round(value * 100) WHEN event_id % 2 = 0 THEN CAST(0 AS DOUBLE)
+         ELSE round(value * 100) END AS score FROM events),
 m AS (
   SELECT positive_value, FALSE AS overall, avg(score) FILTER (WHERE phase = 'initial') AS i,
          avg(score) FILTER (WHERE phase = 'final') AS f FROM r GROUP BY positive_value

@@ -198,10 +198,10 @@ SELECT o_orderkey, concat('select *', chr(10), 'from t where "k" = ', o_orderkey
 
 def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes per user written as JSON; infinite ones come back as NULL with a flag."""
-    events = table(spark, sf_dir, "events")
+    events, cents = table(spark, sf_dir, "events"), F.round(F.col("value") * 100)
     sides = events.groupBy("user_id").agg(
-        F.sum(F.when(F.col("event_type") == "click", F.col("value")).otherwise(0.0)).alias("before"),
-        F.sum(F.when(F.col("event_type") == "view", F.col("value")).otherwise(0.0)).alias("after"),
+        F.sum(F.when(F.col("event_type") == "click", cents).otherwise(0.0)).alias("before"),
+        F.sum(F.when(F.col("event_type") == "view", cents).otherwise(0.0)).alias("after"),
     )
     changes = sides.select(
         "user_id", percent_change(F.col("before"), F.col("after")).alias("percent_change")
@@ -216,8 +216,8 @@ def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARY_JSON_SQL = """
 SELECT user_id, CASE WHEN b <> 0 THEN round((a - b) / abs(b) * 100, 4) WHEN a = 0 THEN CAST(0 AS DOUBLE) END
          AS percent_change, b = 0 AND a <> 0 AS percent_change_infinite
-FROM (SELECT user_id, coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) AS b,
-             coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0) AS a FROM events GROUP BY user_id)
+FROM (SELECT user_id, coalesce(sum(round(value * 100)) FILTER (WHERE event_type = 'click'), 0) AS b,
+             coalesce(sum(round(value * 100)) FILTER (WHERE event_type = 'view'), 0) AS a FROM events GROUP BY user_id)
 """
 
 QUERIES = {
