@@ -5,6 +5,7 @@ from __future__ import annotations
 from querygavel.llm.byte_bpe import round_trip
 from querygavel.llm.exact_dedup import EXACT_SQL, exact_copies
 from querygavel.llm.kd_topk import NEAREST_SQL, nearest
+from querygavel.llm.licenses import license_scan
 from querygavel.llm.rans import token_files
 
 LLM = {
@@ -12,4 +13,5 @@ LLM = {
     "op4_rans_tokens": (token_files, None),
     "op5_grace_dedup": (exact_copies, EXACT_SQL),
     "op9_byte_bpe": (round_trip, None),
+    "op10_license_rules": (license_scan, None),
 }
