@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from querygavel.llm.common import documents, slices, strings
 from querygavel.llm.perfect_hash import PerfectHash
-from querygavel.llm.pretokens import StretchEncoder
+from querygavel.llm.pretokens import StretchEncoder, le_ids
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,7 +85,7 @@ def codec(path: str) -> Codec:
 def encoder(path: str, pattern: str) -> StretchEncoder:
     own = codec(path)
     return StretchEncoder(
-        lambda piece: np.array(own.pretoken(piece.encode("utf-8")), "<u4").tobytes(), regex.compile(pattern).findall
+        lambda piece: le_ids(own.pretoken(piece.encode("utf-8"))), regex.compile(pattern).findall
     )
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from querygavel.llm.pretokens import StretchEncoder
+from querygavel.llm.pretokens import StretchEncoder, le_ids
 
 #: Pre-token pattern that the library applies for byte-level files without a pattern of their own. Fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,10 +43,12 @@ def library_encoder(path: str) -> StretchEncoder:
 
     def encode(piece: str) -> bytes:
         shown = piece.encode("utf-8").decode("latin-1").translate(letters)
-        return np.array([t.id for t in model.tokenize(shown)], "<u4").tobytes()
+        return le_ids([t.id for t in model.tokenize(shown)])
 
     def prepare(body: str) -> str:
-        return body.lower() if body.isascii() and not any(map(str.isspace, body)) else normalizer.normalize_str(body)
+        # Below U+0250 nothing composes and each letter has one lower case.
+        plain = body.isalpha() or not any(map(str.isspace, body))
+        return body.lower() if plain and (body.isascii() or max(body) < "\u0250") else normalizer.normalize_str(body)
 
     return StretchEncoder(
         encode,

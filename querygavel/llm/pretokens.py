@@ -8,9 +8,10 @@ bounded number of them, which changes the time and never the ids.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
-_TWO_SPACES = re.compile(r"\s\s|\A\s|\s\Z")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Marks that stand alone as one pre-token after letters.
 MARKS = frozenset(",.;:!?")
@@ -18,22 +19,34 @@ MARKS = frozenset(",.;:!?")
 
 def stretches(text: str) -> list[str]:
     """The text cut before each lone space; every stretch but the first keeps its space out."""
-    if _TWO_SPACES.search(text):
+    parts = text.split(" ")
+    if "" in parts or list(map(str.strip, parts)) != parts:
         return _LONE_SPACE.split(text)
-    return text.split(" ")
+    return parts
+
+
+def le_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Memo(dict):
-    """Remembers ``make(key)`` for at most ``most`` keys, then starts anew."""
+    """Remembers ``make(key)`` for at most ``most`` keys. When full, it keeps what it has or starts anew."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable[[str], bytes], most: int, keep: bool):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.keep = make, most, keep
 
     def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
         if len(self) >= self.most:
+            if self.keep:
+                return value
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -50,24 +63,21 @@ class StretchEncoder:
         pieces: Callable[[str], list[str]],
         prepare: Callable[[str], str] | None = None,
         spaced: bool = True,
-        most: int = 300_000,
+        most: int = 350_000,
     ):
         self.pieces, self.prepare, self.space = pieces, prepare, " " if spaced else ""
-        self.piece_memo = Memo(encode, 2 * most)
-        self.memo = Memo(self._stretch, most)
+        self.piece_memo = Memo(encode, 2 * most, keep=False)
+        self.memo = Memo(self._stretch, most, keep=True)
         self.get = self.memo.__getitem__
 
-    def _pieces(self, body: str, space: str) -> list[str]:
-        if body.isalpha():
-            return [space + body]
-        if len(body) > 1 and body[-1] in MARKS and body[:-1].isalpha():
-            return [space + body[:-1], body[-1]]
-        return self.pieces(space + body)
-
     def _encoded(self, body: str, space: str) -> bytes:
         if self.prepare:
             body = self.prepare(body)
-        return b"".join([self.piece_memo[p] for p in self._pieces(body, space)])
+        if body.isalpha():
+            return self.piece_memo[space + body]
+        if body[-1:] in MARKS and body[:-1].isalpha():
+            return self.piece_memo[space + body[:-1]] + self.piece_memo[body[-1]]
+        return b"".join([self.piece_memo[p] for p in self.pieces(space + body)])
 
     def _stretch(self, body: str) -> bytes:
         return self._encoded(body, self.space)

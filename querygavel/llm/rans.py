@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querygavel.llm.common import Scratch, documents, slices, strings
@@ -106,32 +106,45 @@ _TOKENS = pa.schema(
     [
         ("file", pa.int32()),
         ("block", pa.int64()),
+        ("at", pa.int64()),  # ids of the file before the block
         ("n_tokens", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())),
         ("lengths", pa.list_(pa.int64())),
         ("ids", pa.binary()),
     ]
 )
-_TOKENS_DDL = "file int, block bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, ids binary"
+_TOKENS_DDL = (
+    "file int, block bigint, at bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, ids binary"
+)
 _BLOCKS_DDL = _TOKENS_DDL.replace("ids binary", "crc32 bigint, coded binary")
 _BLOCKS = pa.schema([*list(_TOKENS)[:-1], ("crc32", pa.int64()), ("coded", pa.binary())])
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """In 16 bits where all ids of the block fit, else in 32; the number of ids tells which."""
+    return ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
 def _token_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
 
     def blocks():
         file = TaskContext.get().partitionId()
-        number, total, doc_ids, held = 0, 0, [], []
+        number, at, total, doc_ids, held = 0, 0, 0, [], []
 
         def block():
             return {
                 "file": file,
                 "block": number,
+                "at": at,
                 "n_tokens": total,
                 "doc_ids": doc_ids,
                 "lengths": [len(h) // 4 for h in held],
-                "ids": b"".join(held),
+                "ids": _narrow(np.frombuffer(b"".join(held), "<u4")).tobytes(),
             }
 
         for batch in batches:
@@ -142,7 +155,7 @@ def _token_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
                 total += len(data) // 4
                 if total >= BLOCK_TOKENS:
                     yield block()
-                    number, total, doc_ids, held = number + 1, 0, [], []
+                    number, at, total, doc_ids, held = number + 1, at + total, 0, [], []
         if held:
             yield block()
 
@@ -152,8 +165,8 @@ def _token_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for data in batch.column("ids").to_pylist():
-            more = np.bincount(np.frombuffer(data, "<u4"))
+        for data, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
+            more = np.bincount(_wide(data, n))
             if len(more) > len(counts):
                 counts, more = more, counts
             counts[: len(more)] += more
@@ -174,7 +187,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, path: str, end_id: int) -> t
         .sortWithinPartitions(F.col("doc_id").asc_nulls_last())
     )
     tokens = scratch.table(ordered.mapInArrow(lambda it: _token_blocks(it, path, end_id), _TOKENS_DDL), "tokens")
-    counts = tokens.select("ids").mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("n_tokens", "ids").mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     frequencies = scratch.table(counts.coalesce(1), "frequencies")
     table = {r.id: r.n for r in frequencies.collect()}
 
@@ -184,7 +197,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, path: str, end_id: int) -> t
         def blocks():
             for batch in batches:
                 for row in batch.to_pylist():
-                    coded = own.encode(np.frombuffer(row.pop("ids"), "<u4"))
+                    coded = own.encode(_wide(row.pop("ids"), row["n_tokens"]))
                     yield row | {"crc32": zlib.crc32(coded), "coded": coded}
 
         yield from slices(blocks(), _BLOCKS, size=lambda row: len(row["coded"]))
@@ -200,9 +213,11 @@ def read_tokens(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:
     Every block is checked against its checksum, and its lanes must end in the state they began in.
     """
     table = {r.id: r.n for r in frequencies.collect()}
-    schema = pa.schema(
-        [("file", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("within", pa.int64()), ("ids", pa.binary())]
-    )
+    # One number for each file: as many as the writing job had tasks.
+    totals = sorted(blocks.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())
+    ends = np.cumsum([t.n for t in totals]).tolist()
+    starts = {t.file: end - t.n for t, end in zip(totals, ends, strict=True)}
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         own = Table(list(table), list(table.values()))
@@ -213,37 +228,14 @@ def read_tokens(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:
                     if zlib.crc32(row["coded"]) != row["crc32"]:
                         raise ValueError(f"block {row['block']} of file {row['file']} is damaged")
                     data, at = own.decode(row["coded"]).astype("<u4").tobytes(), 0
+                    first = starts[row["file"]] + row["at"]
                     for doc_id, length in zip(row["doc_ids"], row["lengths"], strict=True):
-                        ids = data[4 * at : 4 * (at + length)]
-                        yield {"file": row["file"], "block": row["block"], "doc_id": doc_id, "within": at, "ids": ids}
+                        yield {"doc_id": doc_id, "start": first + at, "ids": data[4 * at : 4 * (at + length)]}
                         at += length
 
         yield from slices(rows(), schema, size=lambda row: len(row["ids"]))
 
-    # One row for each file: as many as the writing job had tasks.
-    files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn(
-        "file_start", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    starts = (
-        blocks.select("file", "block", "n_tokens")
-        .join(files.drop("n"), "file")
-        .withColumn(
-            "block_start",
-            F.col("file_start")
-            + F.coalesce(
-                F.sum("n_tokens").over(
-                    Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .select("file", "block", "block_start")
-    )
-    return (
-        blocks.mapInArrow(run, "file int, block bigint, doc_id bigint, within bigint, ids binary")
-        .join(starts, ["file", "block"])
-        .select("doc_id", (F.col("block_start") + F.col("within")).alias("start"), "ids")
-    )
+    return blocks.mapInArrow(run, "doc_id bigint, start bigint, ids binary")
 
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
