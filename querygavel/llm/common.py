@@ -26,11 +26,11 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
-    def table(self, df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
+    def table(self, df: DataFrame, purpose: str, *partition_by: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and read it back: its lineage ends in files that outlive any executor."""
         path = scratch_path(self.spark, purpose)
         self.paths.append(path)
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: DataFrame | None = None) -> None:

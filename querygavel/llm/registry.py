@@ -6,12 +6,16 @@ from querygavel.llm.byte_bpe import round_trip
 from querygavel.llm.exact_dedup import EXACT_SQL, exact_copies
 from querygavel.llm.kd_topk import NEAREST_SQL, nearest
 from querygavel.llm.licenses import license_scan
+from querygavel.llm.packing import packed_documents
 from querygavel.llm.rans import token_files
+from querygavel.llm.toxicity import toxicity_scores
 
 LLM = {
     "op2_kd_topk": (nearest, NEAREST_SQL),
+    "op3_compression_toxicity": (toxicity_scores, None),
     "op4_rans_tokens": (token_files, None),
     "op5_grace_dedup": (exact_copies, EXACT_SQL),
+    "op7_lp_packing": (packed_documents, None),
     "op9_byte_bpe": (round_trip, None),
     "op10_license_rules": (license_scan, None),
 }
