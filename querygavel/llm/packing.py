@@ -24,7 +24,7 @@ from querygavel.llm.library_tokens import library_encoder
 CAPACITY = 2048
 #: Dynamic programs for each linear program, the share of a length that one may cover, the fall of a covered length's
 #: weight, and how often the rest is solved anew.
-ROUNDS, STEP, RATE, PASSES = 200, 0.125, 6.0, 3
+ROUNDS, STEP, RATE, PASSES = 80, 0.125, 2.0, 3
 
 
 class Layout:
@@ -104,20 +104,20 @@ def configuration_lp(counts: np.ndarray, capacity: int) -> dict[tuple, float]:
         if share.min() > 0.999:
             break
         # Nothing is covered twice, and no length by more than a small share before weights are set anew.
-        room = np.minimum(STEP * want, want - covered)
+        room = np.minimum(np.maximum(1.0, STEP * want), want - covered)
         weight = np.where(room > 0, np.exp(-RATE * (share - share.min())) * present, -np.inf)
         value = np.full(capacity + 1, -np.inf)
         value[present] = weight
         best, last = _knapsack(value, capacity)
         total = weight + best[capacity - present]
         for i in np.argsort(-total, kind="stable"):
-            if total[i] < 0.9 * total.max():
+            if total[i] < 0.8 * total.max():
                 break
             if room[i] <= 0:
                 continue
             filling = _filling(last, int(present[i]), capacity)
-            take = min(room[at[length]] / many for length, many in filling)
-            if take < 0.2 * STEP * want[i] and take < 1:
+            take = int(min(room[at[length]] / many for length, many in filling))
+            if take < 1:
                 continue
             amounts[filling] += take
             for length, many in filling:
