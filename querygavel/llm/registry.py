@@ -8,6 +8,7 @@ from querygavel.llm.kd_topk import NEAREST_SQL, nearest
 from querygavel.llm.licenses import license_scan
 from querygavel.llm.packing import packed_documents
 from querygavel.llm.rans import token_files
+from querygavel.llm.suffix_dedup import passages_removed
 from querygavel.llm.super_minhash import near_copies
 from querygavel.llm.toxicity import toxicity_scores
 
@@ -16,6 +17,7 @@ LLM = {
     "op3_compression_toxicity": (toxicity_scores, None),
     "op4_rans_tokens": (token_files, None),
     "op5_grace_dedup": (exact_copies, EXACT_SQL),
+    "op6_suffix_dedup": (passages_removed, None),
     "op7_lp_packing": (packed_documents, None),
     "op8_super_minhash": (near_copies, None),
     "op9_byte_bpe": (round_trip, None),
