@@ -8,11 +8,13 @@ from querygavel.llm.kd_topk import NEAREST_SQL, nearest
 from querygavel.llm.licenses import license_scan
 from querygavel.llm.packing import packed_documents
 from querygavel.llm.rans import token_files
+from querygavel.llm.resharding import shards_by_bytes
 from querygavel.llm.suffix_dedup import passages_removed
 from querygavel.llm.super_minhash import near_copies
 from querygavel.llm.toxicity import toxicity_scores
 
 LLM = {
+    "op1_flow_resharding": (shards_by_bytes, None),
     "op2_kd_topk": (nearest, NEAREST_SQL),
     "op3_compression_toxicity": (toxicity_scores, None),
     "op4_rans_tokens": (token_files, None),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, mixed, powers, prefix_hashes, slices
+from querygavel.llm.common import Scratch, documents, mixed, powers, prefix_hashes, slices, strings
 from querygavel.llm.suffix_sort import repeated
 
 LENGTH, GRAM, SLICE = 400, 32, 128
@@ -362,3 +362,41 @@ def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         F.sha2(kept_bytes(data, F.col("spans")), 256).alias("kept_sha256"),
     )
+
+
+def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the bytes of the spans; a character that a span covers in part stays."""
+    data, at, out = text.encode("utf-8"), 0, []
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    for start, stop in spans:
+        while inside(start):
+            start += 1
+        while inside(stop):
+            stop -= 1
+        if start < stop:
+            out.append(data[at:start])
+            at = stop
+    return b"".join([*out, data[at:]]).decode("utf-8")
+
+
+def cut_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with repeated bytes cut from ``text`` and, where there is such a column, ``n_chars`` counted anew."""
+    names = docs.columns
+    found = with_spans(docs.drop("spans") if "spans" in names else docs, scratch)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [
+                cut_text(t, [(s["start"], s["stop"]) for s in spans]) if t and spans else t
+                for t, spans in zip(strings(batch, "text"), batch.column("spans").to_pylist(), strict=True)
+            ]
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["spans"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "spans")
+    cut = found.mapInArrow(run, kinds)
+    if "n_chars" in names:
+        number = cut.schema["n_chars"].dataType
+        changed = F.when(F.col("text").isNotNull(), F.length("text").cast(number)).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", changed)
+    return cut
