@@ -237,8 +237,10 @@ def near_groups(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80
     )
     clusters = connected_components(_candidates(classes), scratch).withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    # The members grow with the documents, so their join never goes by broadcast, whatever the size of a run.
     members = scratch.table(
         clusters.join(sizes, "cluster")
+        .hint("merge")
         .join(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node")
         .select(
             "cluster",
