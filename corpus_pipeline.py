@@ -37,7 +37,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     ids = kept.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
     none = docs.sparkSession.createDataFrame([(-(1 << 63),)], "__id bigint")
     copy = F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__text"))
-    found = keyed.join(ids.unionByName(none), "__id", "left_semi").withColumn("__copy", copy).where("__copy = 1")
+    found = keyed.join(ids.unionByName(none).hint("merge"), "__id", "left_semi").withColumn("__copy", copy).where("__copy = 1")
     return found.select(*docs.columns)
 
 

@@ -285,7 +285,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         "repeated-cores",
     )
     found = scratch.table(
-        long.join(answers, ["doc_id", "text_hash"])
+        long.join(answers.hint("merge"), ["doc_id", "text_hash"])
         .select("doc_id", "text_hash", "text", "keys", "hot")
         .mapInArrow(_gathered, _FOUND_DDL),
         "slices",
@@ -347,7 +347,8 @@ def with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_text"), "spans"
     )
     named = docs.withColumns({"span_doc": keys[0], "span_text": keys[1]})
-    return named.join(spans, ["span_doc", "span_text"], "left").drop("span_doc", "span_text")
+    # Spans grow with the documents: the join goes by merging at every size.
+    return named.join(spans.hint("merge"), ["span_doc", "span_text"], "left").drop("span_doc", "span_text")
 
 
 def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
