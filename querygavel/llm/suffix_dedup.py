@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +57,14 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8"), np.uint8)
 
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("entries", pa.binary())])
+_ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("known", pa.bool_()), ("entries", pa.binary())])
 _ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("owned", "<i8")])
 
 
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Cores of a chunk of documents, dealt by their hash. What repeats within the chunk is known to repeat: of such a
-    core one entry without an owner goes on, and its owners are sent back by another way."""
+    core one entry without an owner goes on; its owners travel with the number of the chunk."""
+    task = TaskContext.get().partitionId() << 24
 
     def packed(held: list[np.ndarray], number: int):
         all_ = np.concatenate(held)
@@ -71,7 +73,7 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         alone = new & np.concatenate([new[1:], [True]])
         known = all_[~alone]
         if len(known):
-            yield {"bucket": number % buckets, "known": True, "entries": known.tobytes()}
+            yield {"bucket": number % buckets, "chunk": number, "known": True, "entries": known.tobytes()}
         asked = all_[new].copy()
         asked["owned"] = alone[new]
         bucket = asked["key"] % np.uint64(buckets)
@@ -79,10 +81,10 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         asked, bucket = asked[order], bucket[order]
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            yield {"bucket": int(bucket[a]), "known": False, "entries": asked[a:b].tobytes()}
+            yield {"bucket": int(bucket[a]), "chunk": number, "known": False, "entries": asked[a:b].tobytes()}
 
     def rows():
-        held, total, number = [], 0, 0
+        held, total, number = [], 0, task
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")]
             for doc_id, text_hash, text in zip(*columns, strict=True):
@@ -94,7 +96,7 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                     held.append(entries)
                     total += len(data)
                 if total > _CHUNK_BYTES:
-                    yield from packed(held, number + hash(doc_id))
+                    yield from packed(held, number)
                     held, total, number = [], 0, number + 1
         if held:
             yield from packed(held, number)
@@ -102,37 +104,64 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     yield from slices(rows(), _ASKED, size=lambda r: len(r["entries"]))
 
 
-_ANSWER_DDL = "doc_id bigint, text_hash bigint, keys binary, hot binary"
+#: kind 0: an owner with its repeated cores, those that are hot apart; 1: the owners a chunk knows of; 2: the hot cores
+#: among those that a chunk knows of. What belongs together has the same number.
+_ANSWER = {"number": pa.int64(), "kind": pa.int32(), "doc_id": pa.int64(), "text_hash": pa.int64(), "keys": pa.binary(), "hot": pa.binary()}
+_ANSWER_DDL = "number bigint, kind int, doc_id bigint, text_hash bigint, keys binary, hot binary"
+
+
+def _answer_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_ANSWER)
+    return pa.table({n: pa.array(c, t) for (n, t), c in zip(_ANSWER.items(), columns, strict=True)})
+
+
+def _by_owner(hits: np.ndarray, hot: np.ndarray) -> list[tuple]:
+    order = np.lexsort((hits["text"], hits["doc"]))
+    hits, hot = hits[order], hot[order]
+    new = (hits["doc"][1:] != hits["doc"][:-1]) | (hits["text"][1:] != hits["text"][:-1])
+    edge = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(hits) else np.zeros(0, np.int64)
+    rows = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        keys, doc = hits["key"][a:b], int(hits["doc"][a])
+        # Answers are spread by their owner, below the numbers of chunks.
+        rows.append((-1 - hash((doc, 1)) % 65536, 0, doc, int(hits["text"][a]), keys.tobytes(), keys[hot[a:b]].tobytes()))
+    return rows
 
 
 def _answered(group):
-    """Owners of cores that occur twice at least, with the cores; those that occur very often apart."""
-    known, asked = [], []
-    for is_known, data in zip(group.column("known").to_pylist(), group.column("entries").to_pylist(), strict=True):
-        (known if is_known else asked).append(np.frombuffer(data, _ENTRY))
-    hits, hot = [np.concatenate(known)] if known else [], [np.zeros(sum(map(len, known)), bool)]
+    """Owners of cores that occur in two chunks at least; to each chunk, which of the cores it knows of are hot."""
+    rows, asked, chunks = [], [], []
+    columns = [group.column(c).to_pylist() for c in ("known", "chunk", "entries")]
+    for known, chunk, data in zip(*columns, strict=True):
+        if known:
+            rows.append((chunk, 1, None, None, data, None))
+        else:
+            asked.append(np.frombuffer(data, _ENTRY))
+            chunks.append(np.full(len(asked[-1]), chunk))
     if asked:
-        all_ = np.concatenate(asked)
-        all_ = all_[np.argsort(all_["key"], kind="stable")]
+        all_, chunk = np.concatenate(asked), np.concatenate(chunks)
+        order = np.argsort(all_["key"], kind="stable")
+        all_, chunk = all_[order], chunk[order]
         edge = np.flatnonzero(np.concatenate([[True], all_["key"][1:] != all_["key"][:-1], [True]]))
         count = np.repeat(np.diff(edge), np.diff(edge))
         found = (count > 1) & (all_["owned"] == 1)
-        hits.append(all_[found])
-        hot.append(count[found] > HOT)
-    rows = {"doc_id": [], "text_hash": [], "keys": [], "hot": []}
-    if hits:
-        hits, hot = np.concatenate(hits), np.concatenate(hot)
-        order = np.lexsort((hits["text"], hits["doc"]))
-        hits, hot = hits[order], hot[order]
-        new = (hits["doc"][1:] != hits["doc"][:-1]) | (hits["text"][1:] != hits["text"][:-1])
-        edge = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(hits) else np.zeros(0, np.int64)
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            rows["doc_id"].append(int(hits["doc"][a]))
-            rows["text_hash"].append(int(hits["text"][a]))
-            rows["keys"].append(hits["key"][a:b].tobytes())
-            rows["hot"].append(hits["key"][a:b][hot[a:b]].tobytes())
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(rows.items(), kinds, strict=True)})
+        rows += _by_owner(all_[found], count[found] > HOT)
+        told = (count > HOT) & (all_["owned"] == 0)
+        for number in np.unique(chunk[told]).tolist():
+            rows.append((number, 2, None, None, all_["key"][told & (chunk == number)].tobytes(), None))
+    return _answer_table(rows)
+
+
+def _resolved(group):
+    """Owners that their chunks know of, with what the chunk was told about its cores; other answers as they are."""
+    rows = [tuple(r[n] for n in _ANSWER) for r in group.to_pylist()]
+    hot = np.frombuffer(b"".join(r[4] for r in rows if r[1] == 2), "<u8")
+    out = [r for r in rows if r[1] == 0]
+    for r in rows:
+        if r[1] == 1:
+            known = np.frombuffer(r[4], _ENTRY)
+            out += _by_owner(known, np.isin(known["key"], hot))
+    return _answer_table(out)
 
 
 #: kind 0: bytes known to repeat; 1: a slice with its bytes; 2: one string of a hot core, by two hashes.
@@ -277,9 +306,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = keyed.where(F.octet_length("text") >= LENGTH)
     answers = scratch.table(
-        long.mapInArrow(lambda it: _asked(it, buckets), "bucket int, known boolean, entries binary")
+        long.mapInArrow(lambda it: _asked(it, buckets), "bucket int, chunk bigint, known boolean, entries binary")
         .groupBy("bucket")
         .applyInArrow(_answered, _ANSWER_DDL)
+        .groupBy("number")
+        .applyInArrow(_resolved, _ANSWER_DDL)
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")),
         "repeated-cores",

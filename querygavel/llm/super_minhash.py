@@ -29,7 +29,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     lies in [j, j + 1), so its ranks in all slots are tied to each other, which lowers the variance. Once every slot of a
     set is filled, later steps cannot lower any: the set is done.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     h = np.full((len(sets), SLOTS), np.inf)
     flat = h.reshape(-1)
     element = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)

@@ -136,14 +136,14 @@ def passages(seed=5):
     return [*rows, (90, "é" * 500), (91, "xé" + "é" * 500), (92, "ab" * 350), (93, shared[0] + "é" + shared[0])]
 
 
-@pytest.mark.parametrize("hot", [1500, 3])
-def test_spans_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, parts", [(1500, 3), (3, 3), (3, 17), (1, 5), (1500, 1)])
+def test_spans_equal_brute_force(spark, monkeypatch, hot, parts):
     rows = ROWS + passages()
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     if hot < 10:
         # Counted in the workers: the answer is made by a function that takes the bound along.
         monkeypatch.setattr(suffix_dedup, "_answered", bounded(hot))
-    got = suffix_dedup.with_spans(table(spark, rows).drop("spans"), Scratch(spark)).collect()
+    got = suffix_dedup.with_spans(table(spark, rows).repartition(parts).drop("spans"), Scratch(spark)).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
     mine = sorted([(r.doc_id, r.text, [tuple(s) for s in r.spans or []]) for r in got], key=key)
     assert mine == sorted(brute_spans(rows), key=key)
@@ -155,8 +155,11 @@ def bounded(hot):
     original = suffix_dedup._answered
 
     def run(group):
-        suffix_dedup.HOT = hot
-        return original(group)
+        before, suffix_dedup.HOT = suffix_dedup.HOT, hot
+        try:
+            return original(group)
+        finally:
+            suffix_dedup.HOT = before
 
     return run
 
