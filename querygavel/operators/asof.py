@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querygavel.functions.text import quoted
 
-# Time buckets between the first and the last right row.
+# Time buckets, about equal in right rows.
 TIME_BUCKETS = 1000
 
 
+def _clock(df: DataFrame, ts: str) -> Column:
+    """Microseconds of a time; a time without zone is measured without one."""
+    at = F.col(ts)
+    if df.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(at.cast("timestamp"))
+    since = at - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda name, size: F.extract(F.lit(name), since).cast("bigint") * size
+    seconds = (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    return part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000) + seconds
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -27,12 +39,10 @@ def asof_join(
     right row before it, taken from one row per key and bucket. Neither a key with many
     rows nor many rows at one time gather in one task.
     """
-    clock = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = right.agg(F.min(clock).alias("low"), F.max(clock).alias("high"))
-    step = span.select(
-        F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / buckets), F.lit(1))
-    ).scalar()
-    start = span.select("low").scalar()
+    # Boundaries from the data: a stray time does not leave all others in one bucket.
+    shares = [i / buckets for i in range(1, buckets)]
+    times = right.where(F.col(by).isNotNull()).select(_clock(right, ts).cast("double").alias("t"))
+    borders = sorted(set(times.agg(F.percentile_approx("t", shares, 10 * buckets)).first()[0] or ()))
     found = F.struct(F.lit(True).alias("matched"), *[F.col(name) for name in payload])
 
     rights = (
@@ -48,9 +58,13 @@ def asof_join(
         .withColumn("_found", nothing)
         .withColumn("_side", F.lit(1))
     )
-    at = F.unix_micros(F.col("_at").cast("timestamp"))
-    bucket = F.greatest(F.lit(-1), F.least(F.lit(buckets), F.floor((at - start) / step)))
-    points = rights.withColumn("_side", F.lit(0)).unionByName(lefts).withColumn("_bucket", bucket)
+    points = rights.withColumn("_side", F.lit(0)).unionByName(lefts)
+    points = points.withColumn("_time", _clock(points, "_at").cast("double"))
+    if borders:
+        ends = [float("-inf"), *borders, float("inf")]
+        points = Bucketizer(splits=ends, inputCol="_time", outputCol="_bucket").transform(points)
+    else:
+        points = points.withColumn("_bucket", F.lit(0.0))
 
     before = (
         Window.partitionBy("_by", "_bucket")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from querygavel.functions.measures import with_measures
 from querygavel.functions.text import quoted
-from querygavel.operators.quantile import DIRECT_VALUES, values_at_ranks
+
 
 def label_census(df: DataFrame, label: str, where: str | Column | None = None) -> DataFrame:
     """``label, n``: rows per class, of all rows or of those that meet a condition."""
@@ -25,24 +25,29 @@ def class_mix(
     order_by: str,
     caps: Mapping[str, int],
     distinct: bool = False,
-    direct_values: int = DIRECT_VALUES,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The first ``caps[class]`` rows of each named class, by a unique column.
+    """The first ``caps[class]`` rows of each named class, never more; ``columns`` of them.
 
-    No class is sorted or ranked as a whole: the value at the last wanted rank is looked up
-    per class, and the result is a plain filter on label and order column that reaches the
-    scan. With ``distinct``, equal rows are kept once.
+    Ties are broken by the other columns, and rows without an order value come last. Spark
+    limits each class to the largest cap in every task, before rows are shuffled; one pass
+    serves any number of classes. With ``distinct``, equal rows are kept once, after the caps.
     """
-    chosen = F.lit(False)
-    for name, cap in caps.items():
-        if cap <= 0:
-            continue
-        of_class = F.col(quoted(label)) == name
-        values = df.where(of_class).select(F.col(order_by).alias("v"))
-        last = values_at_ranks(values, lambda n, cap=cap: [cap - 1] if cap < n else [], direct_values)
-        # A class that is not larger than its cap is taken whole.
-        chosen = chosen | (of_class & (F.col(order_by) <= F.lit(last[0])) if last else of_class)
-    mixed = df.where(chosen)
+    wanted = {name: cap for name, cap in caps.items() if cap > 0}
+    kept = list(columns or df.columns)
+    if not wanted:
+        return df.where(F.lit(False)).select(*[F.col(quoted(name)) for name in kept])
+    cap = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), F.col(quoted(label)))
+    ties = [F.col(quoted(name)) for name in df.columns if name not in (label, order_by)]
+    in_order = Window.partitionBy(quoted(label)).orderBy(
+        F.col(quoted(order_by)).asc_nulls_last(), F.xxhash64(*ties) if ties else F.lit(0)
+    )
+    ranked = (
+        df.where(F.col(quoted(label)).isin(*wanted))
+        .withColumn("_place", F.row_number().over(in_order))
+        .where(F.col("_place") <= max(wanted.values()))
+    )
+    mixed = ranked.where(F.col("_place") <= cap).select(*[F.col(quoted(name)) for name in kept])
     return mixed.distinct() if distinct else mixed
 
 

@@ -294,9 +294,7 @@ def run_queries(
     spark = distinct.sparkSession
     runner = _Runner(spark, limits)
     guard = TextGuard(spark, views)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    try:
+    with _ONE_RUN, _own_views(spark, views):
         for page in _pages(_candidates(distinct), limits.texts_per_page):
             harmless = []
             with candidate_settings(spark):
@@ -312,10 +310,31 @@ def run_queries(
                 ]
                 _run_chunks(spark, limits, jobs)
                 runner.finish()
+    return runner.results()
+
+
+# Views and settings belong to the session, so runs in one session take turns.
+_ONE_RUN = threading.RLock()
+
+
+@contextmanager
+def _own_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> Iterator[None]:
+    """The given tables by name; views of the caller with the same names come back afterwards."""
+    lower = {name.lower() for name in views}
+    theirs = {
+        t.name: spark.table(t.name)
+        for t in spark.catalog.listTables()
+        if t.isTemporary and t.name.lower() in lower and not t.namespace
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    try:
+        yield
     finally:
         for name in views:
             spark.catalog.dropTempView(name)
-    return runner.results()
+        for name, df in theirs.items():
+            df.createOrReplaceTempView(name)
 
 
 def _count_texts(runner: _Runner, chunk: Sequence[Candidate]) -> None:
@@ -341,7 +360,7 @@ def run_conditions(
     guard = TextGuard(spark, ())
     for page in _pages(_candidates(distinct), limits.texts_per_page):
         by_label: dict[str, list[tuple[str, str]]] = {}
-        with candidate_settings(spark):
+        with _ONE_RUN, candidate_settings(spark):
             for candidate in page:
                 refusal = guard.check_predicate(candidate.text)
                 if refusal:

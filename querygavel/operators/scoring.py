@@ -16,9 +16,6 @@ from querygavel.plans.safety import PARSE_ERROR
 # Columns a candidate table needs; the counts may be text.
 NEEDED = ("candidate_id", "sql", "label_col", "positive_value", "target_rows", "total_rows")
 
-# A result with more classes than this keeps them in the long table only.
-MAP_CLASSES = 10_000
-
 SKIPPED = "skipped"
 GUARD_ERROR = "guard_error"
 
@@ -161,38 +158,26 @@ def _per_candidate(judged: DataFrame, counts: DataFrame) -> DataFrame:
     return runs.join(counts, "query_key").select("candidate_id", "class", "is_text", "n")
 
 
-def class_maps(scored: Scored, max_classes: int = MAP_CLASSES) -> DataFrame:
+def class_maps(scored: Scored) -> DataFrame:
     """``candidate_id, output``: class to row number, with the text ``null`` for a NULL class.
 
-    A map is one cell, so it is only built for results of up to ``max_classes`` classes;
-    the long table has them all, for every candidate.
+    A map is one cell, so Spark's cell size bounds it; the long table has the classes apart.
     """
     named = scored.class_counts.groupBy(
         "candidate_id", F.coalesce("class", F.lit("null")).alias("class")
     ).agg(F.sum("n").alias("n"))
-    sizes = named.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_classes"))
-    small = sizes.where(F.col("n_classes") <= max_classes).select("candidate_id")
-    return (
-        named.join(small, "candidate_id", "left_semi")
-        .groupBy("candidate_id")
-        .agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("output")
-        )
+    return named.groupBy("candidate_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("output")
     )
 
 
-def with_metrics_json(scored: Scored, max_classes: int = MAP_CLASSES) -> DataFrame:
+def with_metrics_json(scored: Scored) -> DataFrame:
     """Records plus ``output`` and ``metrics``, all measures as one JSON text."""
-    joined = scored.records.join(class_maps(scored, max_classes), "candidate_id", "left")
     status = F.col("status")
     # A query that ran and found nothing has an empty output, one that did not run has none.
     nothing = F.create_map().cast("map<string,bigint>")
-    found = scored.class_counts.select("candidate_id").distinct()
-    joined = joined.join(
-        found.withColumn("has_rows", F.lit(True)), "candidate_id", "left"
-    ).withColumn(
-        "output",
-        F.when((status == "ok") & F.col("has_rows").isNull(), nothing).otherwise(F.col("output")),
+    joined = scored.records.join(class_maps(scored), "candidate_id", "left").withColumn(
+        "output", F.coalesce("output", F.when(status == "ok", nothing))
     )
     record = F.struct(
         "output", "tp", "fp", "tn", "fn", "precision", "recall", "f1", F.col("score").alias("f2")
@@ -202,4 +187,4 @@ def with_metrics_json(scored: Scored, max_classes: int = MAP_CLASSES) -> DataFra
     metrics = F.when(status == GUARD_ERROR, F.to_json(error, options)).when(
         status != SKIPPED, F.to_json(record, options)
     )
-    return joined.withColumn("metrics", metrics).drop("has_rows")
+    return joined.withColumn("metrics", metrics)

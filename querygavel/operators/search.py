@@ -11,9 +11,6 @@ from querygavel.session import scratch_path
 K1 = 1.2
 B = 0.75
 
-# Query words up to this number of rows, some tens of megabytes, are broadcast.
-BROADCAST_ROWS = 500_000
-
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 # No word is empty, so this term is free to stand for the whole corpus.
@@ -78,11 +75,8 @@ def bm25_search(
     known = statistics.where(F.col("term") != CORPUS_TERM)
     asked.join(known, "term").select(query_id, "term", idf.alias("idf")).write.parquet(f"{place}/weights")
     weights = spark.read.parquet(f"{place}/weights")
-    # The queries' words are sent to every task only while there are few of them.
-    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Spark knows the size of these written tables and picks the joins.
     terms = weights.select("term").distinct()
-    if few:
-        weights, terms = F.broadcast(weights), F.broadcast(terms)
 
     counted = docs.select(F.col(doc_id), words(F.col(text)).alias("_words")).withColumn(
         "_length", F.size("_words")

@@ -23,7 +23,7 @@ READING_NODES = frozenset(
     Aggregate AsOfJoin Deduplicate Distinct Except Expand Filter Generate GlobalLimit Intersect
     Join LateralJoin LateralSubquery LocalLimit LocalRelation Offset OneRowRelation PipeOperator
     Pivot Project Range Repartition RepartitionByExpression Sample Sort SubqueryAlias Union Unpivot
-    UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation
+    UnresolvedHaving UnresolvedInlineTable UnresolvedRelation
     UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction
     UnresolvedWith Window WithWindowDefinition UnionLoop UnresolvedOrderBy UnresolvedTableSpec
     """.split()
@@ -43,12 +43,6 @@ QUERY_WORD = re.compile(
 # Spark would read this as an alias and a cross join.
 MISREAD_JOIN = re.compile(r"\bpositional\s+join\b", re.IGNORECASE)
 
-FIRST_WORD = re.compile(r"\s*(select|with|from|values|\()", re.IGNORECASE)
-CHANGING_WORD = re.compile(
-    r"\b(insert|update|delete|merge|drop|create|alter|set|cache|using|transform)\b", re.IGNORECASE
-)
-RELATION_WORD = re.compile(r"\b(?:from|join)\s+([`\w.]+)|,\s*([`\w]+\.`[^`]*`)", re.IGNORECASE)
-
 
 @contextmanager
 def candidate_settings(spark: SparkSession):
@@ -82,7 +76,7 @@ class TextGuard:
             return REJECTED
         session = getattr(self.spark, "_jsparkSession", None)
         if session is None:
-            return None if self._looks_harmless(text) else REJECTED
+            return REJECTED  # without Spark's parser nothing can be told
         try:
             plan = session.sessionState().sqlParser().parsePlan(text)
         except ParseException:
@@ -125,14 +119,6 @@ class TextGuard:
         below = _items(node.children()) + _items(node.innerChildren())
         return all(self._reads_only(child, known, search_calls) for child in below)
 
-    def _looks_harmless(self, text: str) -> bool:
-        """Word check for sessions without a parser at hand; refuses when in doubt."""
-        if not FIRST_WORD.match(text) or CHANGING_WORD.search(text) or SUSPICIOUS.search(text):
-            return False
-        named = [(a or b).strip("`").lower() for a, b in RELATION_WORD.findall(text)]
-        defined = {n.lower() for n in re.findall(r"(\w+)\s+as\s*\(", text, re.IGNORECASE)}
-        return all(n in self.tables or n in defined for n in named)
-
 
 def _items(scala_seq) -> list:
     return [scala_seq.apply(i) for i in range(scala_seq.size())]

@@ -40,8 +40,7 @@ def class_capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_capped_mix_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal rows kept once, after the caps."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
-    mixed = class_mix(events, "event_type", "event_id", CAPS)
-    return mixed.select("event_type", "user_id").distinct()
+    return class_mix(events, "event_type", "event_id", CAPS, distinct=True, columns=["event_type", "user_id"])
 
 
 MIX_SQL = "SELECT event_id, event_type, user_id FROM (" + " UNION ALL ".join(

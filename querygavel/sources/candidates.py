@@ -25,13 +25,15 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; quoted cells may span lines; missing cells become NULL.
 
     A file with cells over several lines cannot be split, so many candidates belong
-    in many files or in parquet.
+    in many files or in parquet. All files must have the same header: one with other
+    columns, or the same in another order, fails.
     """
     raw = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("enforceSchema", False)
         .csv(path)
     )
     cells = [

@@ -15,10 +15,17 @@ def scored_name(path: str) -> str:
 
 
 def write_scored(df: DataFrame, path: str, form: str = "csv") -> str:
-    """A folder of part files; text cells keep their newlines."""
+    """A folder of part files; text cells keep their newlines and the white space at their ends."""
     writer = df.write.mode("overwrite")
     if form == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        (
+            writer.option("header", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     else:
         writer.parquet(path)
     return path

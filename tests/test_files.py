@@ -10,9 +10,9 @@ from querygavel.operators.chats import chat_lengths
 from querygavel.plans.corpus import build_corpus
 from querygavel.plans.prompts import build_prompts, prompt_rows
 from querygavel.session import scratch_path, shared_root
-from querygavel.sources.candidates import read_candidates, read_prompt_rows
+from querygavel.sources.candidates import read_candidates, read_prompt_rows, read_table_csv
 from querygavel.sources.reward_log import numbered_lines, reward_curve, run_statistics
-from querygavel.sources.sinks import scored_name, write_json
+from querygavel.sources.sinks import scored_name, write_json, write_scored
 from querygavel.sources.tables import open_table, read_corpus
 from querygavel.streaming.arriving import score_arrivals
 
@@ -161,3 +161,17 @@ def test_arrivals(spark, tmp_path):
     arrive(5, 5)
     second = run()
     assert set(second) == set(range(10)) and spark.read.parquet(place["out"]).count() == 10
+
+
+def test_cells_come_back_untouched(spark, tmp_path):
+    cells = ["  lead", "trail \t", "a\r\nb ", " ; ", 'say "x" ']
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    back = read_table_csv(spark, write_scored(df, f"{tmp_path}/cells"))
+    assert {int(r.i): r.c for r in back.collect()} == dict(enumerate(cells))
+
+
+def test_files_with_other_headers_fail(spark, tmp_path):
+    for name, text in (("a", "Output,Column\nselect 1,lab\n"), ("b", "Column,Output\nlab2,select 2\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table_csv(spark, str(tmp_path)).collect()

@@ -100,9 +100,6 @@ def test_maps_and_json(scored):
     }
     assert json.loads(records["empty"])["output"] == {}
     assert json.loads(records["column only"])["f2"] == 4.0
-    # A result with more classes than a map may have keeps them in the long table.
-    bounded = {r.candidate_id: r.output for r in class_maps(scored, max_classes=2).collect()}
-    assert "number label" not in bounded and bounded["all"] == {"bad": 3, "good": 7}
     assert scored.class_counts.where("candidate_id = 'number label'").count() == 10
 
 
@@ -218,3 +215,18 @@ def test_score_file(spark, t, tmp_path):
     assert got["second"] == (None, None)
     assert got["third"][0] == "0.0"
     assert got["fourth"][0] is None and json.loads(got["fourth"][1])["f2"] is None
+
+
+def test_views_of_the_caller_survive(spark, t):
+    spark.range(3).createOrReplaceTempView("t")
+    try:
+        score_candidates(candidates(spark, {"a": "select * from t"}), {"t": t}).records.collect()
+        assert spark.table("t").count() == 3 and spark.table("t").columns == ["id"]
+    finally:
+        spark.catalog.dropTempView("t")
+
+
+def test_maps_of_many_classes(spark):
+    wide = spark.range(10_050).select(F.col("id").cast("string").alias("kind"))
+    scored = score_candidates(candidates(spark, {"a": "select * from w"}), {"w": wide})
+    assert len(class_maps(scored).first().output) == 10_050
