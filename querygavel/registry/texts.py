@@ -191,10 +191,10 @@ def eval_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both parts of the disjoint split; together they are the table."""
+    """Both parts of the disjoint split, each row with its part; together they are the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     training, held_out = eval_sample(docs, "doc_id", mode="hash")
-    return training.unionByName(held_out)
+    return training.withColumn("held_out", F.lit(False)).unionByName(held_out.withColumn("held_out", F.lit(True)))
 
 
 def small_head(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,10 @@ QUERIES = {
     "prompt_build": (prompt_build, PROMPT_SQL),
     "prompt_p90_cut": (prompt_p90_cut, CUT_SQL),
     "eval_head": (eval_head, f"{CUT_SQL} ORDER BY doc_id LIMIT 32"),
-    "eval_hash": (eval_hash, "SELECT doc_id, lang FROM documents"),
+    "eval_hash": (
+        eval_hash,
+        "SELECT doc_id, lang, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 AS held_out FROM documents",
+    ),
     "small_head": (small_head, "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 512"),
     "strip_fence": (strip_fences, STRIP_SQL),
     "parse_count": (parse_counts, PARSE_SQL),
