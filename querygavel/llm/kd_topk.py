@@ -61,44 +61,58 @@ class Tree:
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
         return _products(plus, self.hi) + _products(minus, self.lo)
 
-    def search(self, query: np.ndarray, bounds: np.ndarray, own_id: int, k: int, floor: int | None) -> list:
-        """The k best (score, -id), without own_id. ``floor``: a kth score found elsewhere; less cannot matter.
+    def searcher(self, queries: np.ndarray, k: int):
+        """A function that gives the k best (score, -id) for a query of the block, without its own id.
 
-        Nodes come off the heap by their bound. Once the best bound is under the kth score, none can hold more; an
-        equal bound is still opened, since an equal score may have a smaller id.
+        ``floor`` is a kth score found elsewhere; less cannot matter. Nodes come off the heap by their bound. Once the
+        best bound is under the kth score, none can hold more; an equal bound is still opened, since an equal score may
+        have a smaller id. Scores are taken in doubles where every one of them is a whole number below 2^53.
         """
-        best: list[tuple[int, int]] = []
-        heap = [(-bounds[0], 0)]
-        while heap:
-            bound, node = heapq.heappop(heap)
-            kth = best[0][0] if len(best) == k else None
-            if floor is not None and (kth is None or kth < floor):
-                kth = floor
-            if kth is not None and -bound < kth:
-                break
-            child = self.left[node]
-            if child >= 0:
-                heapq.heappush(heap, (-bounds[child], child))
-                heapq.heappush(heap, (-bounds[child + 1], child + 1))
-                continue
-            rows = slice(self.start[node], self.end[node])
-            scores = _products(query[None, :], self.vectors[rows])[0]
-            there = np.flatnonzero(scores >= kth) if kth is not None else np.arange(len(scores))
-            for i in there:
-                found = (int(scores[i]), -int(self.ids[rows][i]))
-                if found[1] == -own_id:
+        kind = np.float64 if _fits_doubles(queries, self.vectors) else np.int64
+        vectors, asked = self.vectors.astype(kind), queries.astype(kind)
+        all_bounds, left = self.bounds(queries), self.left.tolist()
+        starts, ends = self.start.tolist(), self.end.tolist()
+
+        def search(number: int, own_id: int, floor: int | None) -> list[tuple[int, int]]:
+            query, bounds = asked[number], all_bounds[number].tolist()
+            best: list[tuple[int, int]] = []
+            heap = [(-bounds[0], 0)]
+            kth = floor
+            while heap:
+                bound, node = heapq.heappop(heap)
+                if kth is not None and -bound < kth:
+                    break
+                child = left[node]
+                if child >= 0:
+                    heapq.heappush(heap, (-bounds[child], child))
+                    heapq.heappush(heap, (-bounds[child + 1], child + 1))
                     continue
-                if len(best) < k:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
-        return best
+                first = starts[node]
+                scores = vectors[first : ends[node]] @ query
+                there = np.flatnonzero(scores >= kth).tolist() if kth is not None else range(len(scores))
+                for i in there:
+                    found = (int(scores[i]), -int(self.ids[first + i]))
+                    if found[1] == -own_id:
+                        continue
+                    if len(best) < k:
+                        heapq.heappush(best, found)
+                    elif found > best[0]:
+                        heapq.heapreplace(best, found)
+                if len(best) == k and (kth is None or best[0][0] > kth):
+                    kth = best[0][0]
+            return best
+
+        return search
+
+
+def _fits_doubles(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no inner product, nor any sum on the way to it, passes 2^53."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2**53
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows: in doubles where no sum can pass 2^53, else in 64-bit integers."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if top < 2**53:
+    if _fits_doubles(a, b):
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
@@ -210,10 +224,10 @@ def _search(k: int):
                     tree = Tree.load(tree_bytes.as_py())
                     held = block.values
                     queries = _matrix(held.field("vec"))
-                    bounds = tree.bounds(queries)
+                    search = tree.searcher(queries, k)
                     ids, floors = held.field("vec_id").to_pylist(), held.field("floor").to_pylist()
                     for i, (own, floor) in enumerate(zip(ids, floors, strict=True)):
-                        best = sorted(tree.search(queries[i], bounds[i], own, k, floor), reverse=True)
+                        best = sorted(search(i, own, floor), reverse=True)
                         yield {
                             "query_id": own,
                             "kth": best[-1][0] if len(best) == k else None,
