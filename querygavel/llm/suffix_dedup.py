@@ -24,6 +24,8 @@ CORE = LENGTH - SLICE + 1
 #: A core with more occurrences than this has its strings dealt one by one, by their own hashes.
 HOT = 1500
 _CHUNK_BYTES = 2 << 20
+#: Strings of hot cores that are compared at once before they go on.
+_HOT_STRINGS = 1 << 20
 
 
 def cut_slices(data: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -58,12 +60,13 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 _ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("known", pa.bool_()), ("entries", pa.binary())])
-_ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("owned", "<i8")])
+#: ``n`` counts the core's occurrences in the chunk: where it is 1, the entry has an owner.
+_ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("n", "<i8")])
 
 
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Cores of a chunk of documents, dealt by their hash. What repeats within the chunk is known to repeat: of such a
-    core one entry without an owner goes on; its owners travel with the number of the chunk."""
+    core one entry without an owner goes on, with their number; its owners travel with the number of the chunk."""
     task = TaskContext.get().partitionId() << 24
 
     def packed(held: list[np.ndarray], number: int):
@@ -75,7 +78,7 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         if len(known):
             yield {"bucket": number % buckets, "chunk": number, "known": True, "entries": known.tobytes()}
         asked = all_[new].copy()
-        asked["owned"] = alone[new]
+        asked["n"] = np.diff(np.append(np.flatnonzero(new), len(all_)))
         bucket = asked["key"] % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         asked, bucket = asked[order], bucket[order]
@@ -92,7 +95,7 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 if len(data) >= LENGTH:
                     key = cut_slices(data, prefix_hashes(data))[3]
                     entries = np.zeros(len(key), _ENTRY)
-                    entries["key"], entries["doc"], entries["text"], entries["owned"] = key, doc_id, text_hash, 1
+                    entries["key"], entries["doc"], entries["text"], entries["n"] = key, doc_id, text_hash, 1
                     held.append(entries)
                     total += len(data)
                 if total > _CHUNK_BYTES:
@@ -129,7 +132,8 @@ def _by_owner(hits: np.ndarray, hot: np.ndarray) -> list[tuple]:
 
 
 def _answered(group):
-    """Owners of cores that occur in two chunks at least; to each chunk, which of the cores it knows of are hot."""
+    """Owners of cores that occur in two chunks at least; to each chunk, which of the cores it knows of are hot. A core is
+    hot by its occurrences in all chunks together."""
     rows, asked, chunks = [], [], []
     columns = [group.column(c).to_pylist() for c in ("known", "chunk", "entries")]
     for known, chunk, data in zip(*columns, strict=True):
@@ -143,12 +147,14 @@ def _answered(group):
         order = np.argsort(all_["key"], kind="stable")
         all_, chunk = all_[order], chunk[order]
         edge = np.flatnonzero(np.concatenate([[True], all_["key"][1:] != all_["key"][:-1], [True]]))
-        count = np.repeat(np.diff(edge), np.diff(edge))
-        found = (count > 1) & (all_["owned"] == 1)
+        count = np.repeat(np.add.reduceat(all_["n"], edge[:-1]), np.diff(edge))
+        found = (count > 1) & (all_["n"] == 1)
         rows += _by_owner(all_[found], count[found] > HOT)
-        told = (count > HOT) & (all_["owned"] == 0)
-        for number in np.unique(chunk[told]).tolist():
-            rows.append((number, 2, None, None, all_["key"][told & (chunk == number)].tobytes(), None))
+        told = np.flatnonzero((count > HOT) & (all_["n"] > 1))
+        told = told[np.argsort(chunk[told], kind="stable")]
+        for part in np.split(told, np.flatnonzero(np.diff(chunk[told])) + 1):
+            if len(part):
+                rows.append((int(chunk[part[0]]), 2, None, None, all_["key"][part].tobytes(), None))
     return _answer_table(rows)
 
 
@@ -184,13 +190,35 @@ _FOUND_DDL = (
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The slices of repeated cores with their bytes. Slices that are the same within a batch are known to repeat; one of
-    them goes on without an owner, so that others can still be compared with it."""
+    them goes on without an owner, so that others can still be compared with it. So do the strings of hot cores."""
 
     def row(kind, doc_id, text_hash, start, stop, key=0, other=0, data=None):
         return dict(zip(_FOUND.names, (kind, doc_id, text_hash, start, stop, key, other, data), strict=True))
 
+    def single(held: list[tuple]):
+        """Strings of hot cores: slices as (doc_id, text_hash, start, hashes); doc_id null where settled."""
+        many = [len(h[3]) for h in held]
+        pairs = np.concatenate([h[3] for h in held])
+        owner = np.repeat(np.arange(len(held)), many)
+        settled = np.array([h[0] is None for h in held])[owner]
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(pairs[order], axis=0) != 0).any(axis=1), [True]]))
+        twice = np.zeros(len(pairs), bool)
+        twice[order] = np.repeat(np.diff(edge) > 1, np.diff(edge))
+        at = np.concatenate([[0], np.cumsum(many)]).tolist()
+        for i, (doc_id, text_hash, start, _) in enumerate(held):
+            if doc_id is not None:
+                for a, b in _spans(twice[at[i] : at[i + 1]], start):
+                    yield row(0, doc_id, text_hash, a, b)
+        for i in order[edge[:-1]].tolist():
+            doc_id, text_hash, start, _ = held[owner[i]]
+            start += i - at[owner[i]]
+            one, two = pairs[i].tolist()
+            yield row(2, None if twice[i] or settled[i] else doc_id, text_hash, start, start + LENGTH, one, two)
+
     def rows():
         for batch in batches:
+            held, total = [], 0
             same: dict[tuple, list[tuple]] = {}
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "keys", "hot")]
             for doc_id, text_hash, text, keys, hot in zip(*columns, strict=True):
@@ -213,9 +241,13 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     # ``stop`` is the first string's place against the core; the owner is left out when settled.
                     yield row(1, None if many else doc_id, text_hash, a, shift, signed, 0, content)
                     continue
-                one, two = _string_hashes(content)
-                for i in range(b - a + 1):
-                    yield row(2, None if many else doc_id, text_hash, a + i, a + i + LENGTH, int(one[i]), int(two[i]))
+                held.append((None if many else doc_id, text_hash, a, np.column_stack(_string_hashes(content))))
+                total += b - a + 1
+                if total > _HOT_STRINGS:
+                    yield from single(held)
+                    held, total = [], 0
+            if held:
+                yield from single(held)
 
     yield from slices(rows(), _FOUND, size=lambda r: 64 + len(r["data"] or b""))
 

@@ -197,3 +197,48 @@ def test_registered_query(spark, tmp_path):
     found = suffix_dedup.passages_removed(spark, save_documents(spark, tmp_path, rows)).collect()
     expected = {d: (len((t or "").encode()), sum(b - a for a, b in s), len(s)) for d, t, s in brute_spans(rows)}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in found} == expected
+
+
+class Kept(Scratch):
+    """Scratch that remembers its tables by their purpose."""
+
+    def table(self, df, purpose, *args, **kwargs):
+        self.held = {**getattr(self, "held", {}), purpose: super().table(df, purpose, *args, **kwargs)}
+        return self.held[purpose]
+
+
+def bounded_there(hot):
+    """As ``bounded``, with the module of the worker: a function that is patched here travels with its own globals."""
+
+    def run(group):
+        from querygavel.llm import suffix_dedup as own
+
+        before, own.HOT = own.HOT, hot
+        try:
+            return own._answered(group)
+        finally:
+            own.HOT = before
+
+    return run
+
+
+@pytest.mark.parametrize("hot, parts", [(1, 5), (3, 3)])
+def test_spans_with_hot_cores_equal_brute_force(spark, monkeypatch, hot, parts):
+    monkeypatch.setattr(suffix_dedup, "_answered", bounded_there(hot))
+    rows = [(d, t) for d, t in ROWS + passages() if d is not None]
+    got = suffix_dedup.with_spans(table(spark, rows, clash=False).repartition(parts), Scratch(spark)).collect()
+    mine = sorted((r.doc_id, r.text or "", [tuple(s) for s in r.spans or []]) for r in got)
+    assert mine == sorted((d, t or "", s) for d, t, s in brute_spans(rows))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_no_group_of_slices_is_above_the_bound(spark, monkeypatch, parts):
+    monkeypatch.setattr(suffix_dedup, "_answered", bounded_there(20))
+    shared = prose(50, 90)
+    rows = [(i, prose(300 + i, 20 + i) + shared + prose(600 + i, i)) for i in range(80)]
+    docs, scratch = table(spark, rows, clash=False).repartition(parts), Kept(spark)
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in suffix_dedup.repeated_spans(docs, scratch).collect()}
+    assert found == {d: spans for d, _, spans in brute_spans(rows) if spans}
+    slices = scratch.held["slices"]
+    assert slices.where("kind = 2").count()
+    assert max((r["count"] for r in slices.where("kind = 1").groupBy("key").count().collect()), default=0) <= 20
