@@ -76,7 +76,9 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         alone = new & np.concatenate([new[1:], [True]])
         known = all_[~alone]
         if len(known):
-            yield {"bucket": number % buckets, "chunk": number, "known": True, "entries": known.tobytes()}
+            # Numbers of chunks differ by multiples of 2^24, so a plain remainder would bring many of them together.
+            bucket = int(mixed(np.array([number], np.uint64))[0] % np.uint64(buckets))
+            yield {"bucket": bucket, "chunk": number, "known": True, "entries": known.tobytes()}
         asked = all_[new].copy()
         asked["n"] = np.diff(np.append(np.flatnonzero(new), len(all_)))
         bucket = asked["key"] % np.uint64(buckets)

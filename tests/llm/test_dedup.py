@@ -1,7 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from querygavel.llm import exact_dedup, suffix_dedup, super_minhash
@@ -242,3 +244,15 @@ def test_no_group_of_slices_is_above_the_bound(spark, monkeypatch, parts):
     slices = scratch.held["slices"]
     assert slices.where("kind = 2").count()
     assert max((r["count"] for r in slices.where("kind = 1").groupBy("key").count().collect()), default=0) <= 20
+
+
+@pytest.mark.parametrize("buckets", [64, 1600])
+def test_what_chunks_know_is_dealt_evenly(monkeypatch, buckets):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text_hash": [1, 1], "text": [prose(50, 90)] * 2})
+    seen = []
+    for task in range(64):
+        monkeypatch.setattr(suffix_dedup, "TaskContext", SimpleNamespace(get=lambda t=task: SimpleNamespace(partitionId=lambda: t)))
+        rows = [r for b in suffix_dedup._asked(iter([batch]), buckets) for r in b.to_pylist()]
+        seen += [r["bucket"] for r in rows if r["known"]]
+    assert len(seen) == 64 and all(0 <= b < buckets for b in seen)
+    assert len(set(seen)) > 30 and max(map(seen.count, seen)) < 8
