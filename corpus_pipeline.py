@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querygavel.llm import toxicity as tox
-from querygavel.llm.common import Scratch, documents
+from querygavel.llm.common import Scratch, documents, free_name
 from querygavel.llm.exact_dedup import exact_groups
 from querygavel.llm.packing import pack
 from querygavel.llm.suffix_dedup import cut_texts
@@ -45,7 +45,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is 0.5 or more go. Null and empty texts stay, as all others do."""
     _new_scratch(spark)
     model = tox.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return tox.with_score(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    score = free_name("toxicity", docs.columns)
+    return tox.with_score(docs, model, score).where(f"{score} < 0.5").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ class Scratch:
             self.paths.remove(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until it differs from all names taken; case does not matter."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(name).to_pylist()
 

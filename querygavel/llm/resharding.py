@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents
+from querygavel.llm.common import Scratch, documents, free_name
 
 #: Bytes that a document counts beside its text; bounds of a block.
 OVERHEAD = 16
@@ -99,19 +99,22 @@ def reshard(
     ``old_shard`` gives each row's shard from 0 to ``old`` - 1 (null: 0). New shards have equal capacities; every shard ends
     within one document's size, for each transfer it takes part in, of its share. The first table has the columns of
     ``kept`` (expressions over a row; where the row was moved, they are evaluated on what the new files hold), size,
-    shard, slot (from 0 without gaps) and moved; the second has the rewritten rows with all their columns, in a folder for
-    each shard. Null texts have no bytes of their own; repeated rows are rows like any other; an empty table gives none.
+    shard, slot (from 0 without gaps) and moved; the second has shard and the rewritten rows with all their columns, in a
+    folder for each shard. Where ``kept`` or the rows have a column of such a name, it stays, and the added one has
+    underscores before its name (``_shard``). Null texts have no bytes of their own; repeated rows are rows like any other; an empty table gives none.
 
     The driver sees one number for each old shard. Positions come from sums over blocks: a block has at most 64 MB, so a
     hot shard is many blocks, and no shard is sorted or counted in one task.
     """
-    names = docs.columns
-    rows = docs.withColumns(
-        {
-            "__old": F.coalesce(old_shard.cast("int"), F.lit(0)),
-            "__size": text_bytes(),
-            "__tie": F.xxhash64("doc_id", "text"),
-        }
+    # The row is packed before any column is added, and unpacked beside one struct of a name that it does not have.
+    names, own = docs.columns, free_name("__own", docs.columns)
+    row = F.struct(*[F.col(f"`{n}`") for n in names])
+    rows = docs.select(
+        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("__old"),
+        text_bytes().alias("__size"),
+        F.xxhash64("doc_id", "text").alias("__tie"),
+        F.col("doc_id").alias("__id"),
+        row.alias("__row"),
     )
     totals = {r["__old"]: r.n for r in rows.groupBy("__old").agg(F.sum("__size").alias("n")).collect()}
     supply = [totals.get(i, 0) for i in range(old)]
@@ -135,7 +138,7 @@ def reshard(
         "__start",
         (F.col("__start") + F.col("n") <= _looked_up(F.col("__old"), stays, F.lit(0)).cast("long")).alias("__stays"),
     )
-    within = Window.partitionBy("__old", "__block").orderBy("__tie", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__old", "__block").orderBy("__tie", "__id").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("__start") + F.sum("__size").over(within) - F.ceil(F.col("__size") / 2)
     none = F.array().cast("array<bigint>")
     placed = (
@@ -151,33 +154,31 @@ def reshard(
         )
     )
     # A row that stays leaves its columns where they are, but for what is asked of it.
+    asked = F.struct(*[c.alias(n) for n, c in kept.items()])
+    own_names = ["shard", "__old", "__block", "__number", "size", "moved"]
+    stays_ = F.col(f"{own}.moved") == F.lit(False)
     layout = scratch.table(
-        placed.select(
-            "shard",
-            "__old",
-            "__block",
-            "__number",
-            F.col("__size").alias("size"),
-            (~F.col("__stays")).alias("moved"),
-            F.when(F.col("__stays"), F.struct(*[c.alias(n) for n, c in kept.items()])).alias("__stayed"),
-            F.when(~F.col("__stays"), F.struct(*names)).alias("__row"),
-        ),
+        placed.withColumns({"size": F.col("__size"), "moved": ~F.col("__stays")})
+        .select(F.struct(*own_names).alias(own), "__row.*")
+        .select(f"{own}.*", F.when(stays_, asked).alias("__stayed"), F.when(~stays_, row).alias("__row")),
         "layout",
         "shard",
     )
     counts = layout.groupBy("shard", "__old", "__block").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("__old", "__block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "__old", "__block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__first"))
-    written = layout.where("moved").select("shard", "__old", "__block", "__number", "size", "moved", "__row.*")
-    asked = [c.alias(n) for n, c in kept.items()]
-    stayed = layout.where("NOT moved").select("shard", "__old", "__block", "__number", "size", "moved", "__stayed.*")
+    written = layout.where("moved").select(F.struct(*own_names).alias(own), "__row.*")
+    stayed = layout.where("NOT moved").select(*own_names, F.col("__stayed").alias("__kept"))
+    slot = (F.col("__first") + F.col("__number") - 1).cast("long")
+    added = {"size": F.col("size"), "shard": F.col("shard"), "slot": slot, "moved": F.col("moved")}
     placed_rows = (
-        written.select("shard", "__old", "__block", "__number", "size", "moved", *asked)
+        written.select(f"{own}.*", asked.alias("__kept"))
         .unionByName(stayed)
         .join(firsts, ["shard", "__old", "__block"])
-        .select(*kept, "size", "shard", (F.col("__first") + F.col("__number") - 1).cast("long").alias("slot"), "moved")
+        .select("__kept.*", *[c.alias(free_name(n, list(kept))) for n, c in added.items()])
     )
-    return placed_rows, written.select("shard", *names)
+    files = layout.where("moved").select(F.col("shard").alias(free_name("shard", names)), "__row.*")
+    return placed_rows, files
 
 
 def shards_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

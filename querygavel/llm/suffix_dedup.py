@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, mixed, powers, prefix_hashes, slices, strings
+from querygavel.llm.common import Scratch, documents, free_name, mixed, powers, prefix_hashes, slices, strings
 from querygavel.llm.suffix_sort import repeated
 
 LENGTH, GRAM, SLICE = 400, 32, 128
@@ -405,15 +405,17 @@ def kept_bytes(data: Column, spans: Column) -> Column:
     return F.when(spans.isNull(), data).otherwise(done)
 
 
-def with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs with ``spans`` (null where nothing repeats); other columns stay."""
+def with_spans(docs: DataFrame, scratch: Scratch, name: str = "spans") -> DataFrame:
+    """The rows of docs with ``spans`` (null where nothing repeats), or ``name``, added; it replaces a column of that name,
+    other columns stay."""
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))]
     spans = scratch.table(repeated_spans(docs, scratch), "spans").select(
         F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_text"), "spans"
     )
-    named = docs.withColumns({"span_doc": keys[0], "span_text": keys[1]})
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns if n.lower() != name.lower()])
+    named = docs.select(keys[0].alias("span_doc"), keys[1].alias("span_text"), row.alias("row"))
     # Spans grow with the documents: the join goes by merging at every size.
-    return named.join(spans.hint("merge"), ["span_doc", "span_text"], "left").drop("span_doc", "span_text")
+    return named.join(spans.hint("merge"), ["span_doc", "span_text"], "left").select("row.*", F.col("spans").alias(name))
 
 
 def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,19 +449,19 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 def cut_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with repeated bytes cut from ``text`` and, where there is such a column, ``n_chars`` counted anew."""
-    names = docs.columns
-    found = with_spans(docs.drop("spans") if "spans" in names else docs, scratch)
+    names, own = docs.columns, free_name("spans", docs.columns)
+    found = with_spans(docs, scratch, own)
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [
                 cut_text(t, [(s["start"], s["stop"]) for s in spans]) if t and spans else t
-                for t, spans in zip(strings(batch, "text"), batch.column("spans").to_pylist(), strict=True)
+                for t, spans in zip(strings(batch, "text"), batch.column(own).to_pylist(), strict=True)
             ]
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["spans"])
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([own])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "spans")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != own)
     cut = found.mapInArrow(run, kinds)
     if "n_chars" in names:
         number = cut.schema["n_chars"].dataType

@@ -232,18 +232,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns kept, with ``toxicity`` added (replacing a column of that name)."""
-    docs = docs.drop("toxicity")
+def with_score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """The rows of docs, all columns kept, with ``toxicity``, or ``name``, added (replacing a column of that name)."""
+    docs = docs.drop(name)
 
     def run(batches):
         sums = model.distances()
         for batch in batches:
             x = np.array([sums(words(t)) for t in strings(batch, "text")]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, name])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*kinds, "toxicity double"]))
+    return docs.mapInArrow(run, ", ".join([*kinds, f"`{name}` double"]))
 
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from querygavel.llm import kd_topk, licenses, resharding, toxicity
 from querygavel.llm.common import Scratch
 from querygavel.llm.license_rules import rules
 from tests.conftest import SMALL
-from tests.llm.common import ROWS, empty, prose, save_documents, table
+from tests.llm.common import BASE, ROWS, empty, prose, save_documents, table
 
 TEN = [f"op{n}_" for n in range(1, 11)]
 
@@ -71,6 +71,21 @@ def test_reshard_nothing(spark):
     assert placed.count() == files.count() == 0
 
 
+def test_reshard_keeps_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(resharding, "BLOCK_BYTES", (2000, 1 << 20))
+    docs = table(spark, ROWS + [(100 + i, prose(i, 20)) for i in range(60)])
+    docs = docs.selectExpr("*", "concat('m', doc_id) AS moved", "'o' AS __own", "'n' AS __row", "'t' AS `a.b`", "doc_id AS slot")
+    kept = {"doc_id": F.col("doc_id"), "shard": F.col("shard"), "moved": F.col("moved")}
+    placed, files = resharding.reshard(docs, F.expr("pmod(doc_id, 3)"), 3, 4, Scratch(spark), kept)
+    assert placed.columns == ["doc_id", "shard", "moved", "size", "_shard", "slot", "_moved"]
+    assert files.columns == ["_shard", *docs.columns]
+    got, rows = placed.collect(), docs.collect()
+    assert sorted(map(repr, [(r.doc_id, r.shard, r.moved) for r in got])) == sorted(map(repr, [(r.doc_id, r.shard, r.moved) for r in rows]))
+    assert {r["_shard"] for r in got} == {0, 1, 2, 3} and any(r["_moved"] for r in got)
+    written = [tuple(r)[1:] for r in files.collect()]
+    assert len(written) == sum(r["_moved"] for r in got) and set(written) <= {tuple(r) for r in rows}
+
+
 # --- top k ---
 
 
@@ -279,3 +294,15 @@ def test_pipeline_on_nothing(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    sf, _ = labelled(spark, tmp_path, 40)
+    docs = table(spark, [*ROWS, (93, BASE + "é" + BASE)]).selectExpr("*", "'own' AS toxicity", "'a' AS span_doc", "'b' AS span_text")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.cut_passages):
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert len(rows) == len(ROWS) + 1
+        assert {(r.toxicity, r.spans, r.span_doc, r.span_text, r.shard) for r in rows} == {("own", "odd", "a", "b", "odd")}
+    assert "é" in {r.text for r in rows if r.doc_id == 93}.pop()[:4]
