@@ -188,15 +188,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     totals = {r.toxic: r["count"] for r in held_in.groupBy("toxic").count().collect()}
-    # Twice the sample, since long documents fall out; 6,000 ids at most, so the driver and a broadcast can hold them.
-    ids = [
-        held_in.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_DOCS) for k in (0, 1)
-    ]
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    # Only ids of documents that can be sampled; 3,000 at most, so the driver and a broadcast can hold them.
+    there = held_in.join(short.select("doc_id"), "doc_id", "left_semi")
+    ids = [there.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS) for k in (0, 1)]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))
     found = (
-        docs.select("doc_id", "text")
-        .where(F.octet_length("text") <= SAMPLE_BYTES)
-        .join(chosen, "doc_id")
+        short.join(chosen, "doc_id")
         .select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic")
     )
     sample = [

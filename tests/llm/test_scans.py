@@ -160,6 +160,17 @@ def test_scores_do_not_see_held_out_labels(spark, tmp_path):
     assert toxicity.train(docs, labels) == toxicity.train(docs, turned)
 
 
+def test_sample_is_of_documents_that_can_be_sampled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(toxicity, "fit", lambda sample, totals: sample)
+    sf, _ = labelled(spark, tmp_path, 300)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    more = spark.range(1000, 9000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    odd = spark.range(1000, 5000).selectExpr("id AS doc_id", "if(id % 3 = 0, repeat('x', 40000), null) AS text")
+    sample = toxicity.train(docs.select("doc_id", "text").unionByName(odd), labels.select("doc_id", "toxic").unionByName(more))
+    assert [k for _, k in sample] == [0] * 20 + [1] * 20
+
+
 def test_toxicity_without_examples(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.train(table(spark), none)
