@@ -122,14 +122,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def integer_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, dim, vec: each component x as floor(256 x). Rows that cannot be compared are left out."""
+def integer_vectors(table: DataFrame, id_col: str, vector_col: str, *kept: str) -> DataFrame:
+    """vec_id, the columns ``kept``, dim, vec: each component x as floor(256 x). Rows that cannot be compared are left out."""
     vector = F.col(vector_col)
     usable = vector.isNotNull() & F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(math.inf))
     )
     return table.where(usable & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"),
+        *kept,
         F.size(vector).alias("dim"),
         F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("vec"),
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import regex
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from querygavel.llm.pretokens import StretchEncoder, le_ids
 
@@ -22,37 +23,61 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printable else next(others)) for b in range(256)}
 
 
-@lru_cache(maxsize=4)
-def library_encoder(path: str) -> StretchEncoder:
-    """An encoder of whole texts, equal to ``encode(text, add_special_tokens=False)`` with special strings as text.
+class LibraryEncoder:
+    """Whole texts as little-endian unsigned 32-bit ids, equal to the library's ``encode(text, add_special_tokens=False)``.
 
+    As there, special strings of the vocabulary inside a text are special tokens. They part the text, and what lies
+    between two of them is encoded by itself. ``marks`` are further special strings, with ids after the vocabulary.
     Takes byte-level files with the usual pattern, or with a split pattern of their own after a normalizer.
     """
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    with open(path, encoding="utf-8") as file:
-        shape = json.load(file)
-    before = shape["pre_tokenizer"]
-    parts = before.get("pretokenizers", [before])
-    split = next((p for p in parts if p["type"] == "Split"), None)
-    if parts[-1]["type"] != "ByteLevel" or len(parts) > 2 or parts[-1].get("add_prefix_space"):
-        raise ValueError(f"{path}: only byte-level vocabularies are taken")
-    if split and not (split["behavior"] == "Removed" and split["invert"]):
-        raise ValueError(f"{path}: only a split that keeps its matches is taken")
-    letters, model, normalizer = byte_letters(), tokenizer.model, tokenizer.normalizer
-
-    def encode(piece: str) -> bytes:
-        shown = piece.encode("utf-8").decode("latin-1").translate(letters)
-        return le_ids([t.id for t in model.tokenize(shown)])
-
-    def prepare(body: str) -> str:
-        # Below U+0250 nothing composes and each letter has one lower case.
-        plain = body.isalpha() or not any(map(str.isspace, body))
-        return body.lower() if plain and (body.isascii() or max(body) < "\u0250") else normalizer.normalize_str(body)
-
-    return StretchEncoder(
-        encode,
-        regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL).findall,
-        prepare if normalizer else None,
-        spaced=split is None,
-    )
+
+    def __init__(self, path: str, marks: tuple[str, ...] = ()):
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        tokenizer.add_special_tokens([AddedToken(mark, special=True, normalized=False) for mark in marks])
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized or not t.special for t in added.values()):
+            raise ValueError(f"{path}: only special tokens that stand for themselves are taken")
+        self.specials = {t.content: i for i, t in added.items()}
+        self._special_ids = {text: le_ids([i]) for text, i in self.specials.items()}
+        longest_first = sorted(self.specials, key=len, reverse=True)
+        self._parts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
+        self.between = self._stretch_encoder(path)
+
+    def _stretch_encoder(self, path: str) -> StretchEncoder:
+        with open(path, encoding="utf-8") as file:
+            before = json.load(file)["pre_tokenizer"]
+        parts = before.get("pretokenizers", [before])
+        split = next((p for p in parts if p["type"] == "Split"), None)
+        if parts[-1]["type"] != "ByteLevel" or len(parts) > 2 or parts[-1].get("add_prefix_space"):
+            raise ValueError(f"{path}: only byte-level vocabularies are taken")
+        if split and not (split["behavior"] == "Removed" and split["invert"]):
+            raise ValueError(f"{path}: only a split that keeps its matches is taken")
+        letters, model, normalizer = byte_letters(), self.tokenizer.model, self.tokenizer.normalizer
+
+        def encode(piece: str) -> bytes:
+            shown = piece.encode("utf-8").decode("latin-1").translate(letters)
+            return le_ids([t.id for t in model.tokenize(shown)])
+
+        def prepare(body: str) -> str:
+            # Below U+0250 nothing composes and each letter has one lower case.
+            plain = body.isalpha() or not any(map(str.isspace, body))
+            return body.lower() if plain and (body.isascii() or max(body) < "\u0250") else normalizer.normalize_str(body)
+
+        return StretchEncoder(
+            encode,
+            regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL).findall,
+            prepare if normalizer else None,
+            spaced=split is None,
+        )
+
+    def __call__(self, text: str) -> bytes:
+        parts = self._parts.split(text) if self._parts else [text]
+        if len(parts) == 1:
+            return self.between(text)
+        known, between = self._special_ids, self.between
+        return b"".join([known[part] if i % 2 else between(part) for i, part in enumerate(parts) if part])
+
+
+@lru_cache(maxsize=4)
+def library_encoder(path: str, marks: tuple[str, ...] = ()) -> LibraryEncoder:
+    return LibraryEncoder(path, marks)

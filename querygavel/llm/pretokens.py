@@ -2,7 +2,7 @@
 
 A single space between two characters that are not white space always begins a pre-token, so the
 stretches between such spaces can be encoded apart. Most stretches repeat; each worker remembers a
-bounded number of them, which changes the time and never the ids.
+bounded part of them, which changes the time and never the ids.
 """
 
 from __future__ import annotations
@@ -34,19 +34,28 @@ def le_ids(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """Remembers ``make(key)`` for at most ``most`` keys. When full, it keeps what it has or starts anew."""
+    """Remembers ``make(key)`` for keys and values of at most ``most_bytes`` in memory.
 
-    def __init__(self, make: Callable[[str], bytes], most: int, keep: bool):
+    When full, it keeps what it has or starts anew.
+    """
+
+    #: A place in the dictionary and what the allocator adds to two small objects.
+    ENTRY_BYTES = 130
+
+    def __init__(self, make: Callable[[str], bytes], most_bytes: int, keep: bool):
         super().__init__()
-        self.make, self.most, self.keep = make, most, keep
+        self.make, self.most_bytes, self.keep, self.bytes = make, most_bytes, keep, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(self) >= self.most:
-            if self.keep:
+        size = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY_BYTES
+        if self.bytes + size > self.most_bytes:
+            if self.keep or size > self.most_bytes:
                 return value
             self.clear()
+            self.bytes = 0
         self[key] = value
+        self.bytes += size
         return value
 
 
@@ -63,11 +72,11 @@ class StretchEncoder:
         pieces: Callable[[str], list[str]],
         prepare: Callable[[str], str] | None = None,
         spaced: bool = True,
-        most: int = 350_000,
+        most_bytes: int = 64 << 20,
     ):
         self.pieces, self.prepare, self.space = pieces, prepare, " " if spaced else ""
-        self.piece_memo = Memo(encode, 2 * most, keep=False)
-        self.memo = Memo(self._stretch, most, keep=True)
+        self.piece_memo = Memo(encode, most_bytes // 2, keep=False)
+        self.memo = Memo(self._stretch, most_bytes, keep=True)
         self.get = self.memo.__getitem__
 
     def _encoded(self, body: str, space: str) -> bytes:

@@ -14,12 +14,12 @@ from querygavel.llm.license_rules import rules
 from tests.conftest import SMALL
 from tests.llm.common import BASE, ROWS, empty, prose, save_documents, table
 
-TEN = [f"op{n}_" for n in range(1, 11)]
+ALL = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_registered():
     names = list(queries())
-    assert all(sum(n.startswith(p) for n in names) == 1 for p in TEN) and "pipeline" in names
+    assert all(sum(n.startswith(p) for n in names) == 1 for p in ALL) and "pipeline" in names
     assert {"op2_kd_topk", "op5_grace_dedup"} <= set(oracle_sql())
 
 
