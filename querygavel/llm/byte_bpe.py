@@ -83,6 +83,8 @@ def codec(path: str) -> Codec:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> StretchEncoder:
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("texts are cut into stretches that only the public pattern keeps apart; other patterns are not taken")
     own = codec(path)
     return StretchEncoder(
         lambda piece: le_ids(own.pretoken(piece.encode("utf-8"))), regex.compile(pattern).findall

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,46 @@ class Scratch:
             self.paths.remove(path)
 
 
+def give_back() -> None:
+    """Hand unused memory of this process back to the system; workers live on after a task and share their machine."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only where the C library can
+
+
+def frugal(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function over batches that gives memory back when its task ends."""
+
+    @wraps(run)
+    def wrapped(*args, **kwargs):
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+#: Groups of at least this size give memory back when they are done.
+LARGE_GROUP = 8 << 20
+
+
+def frugal_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a function over the table of one group."""
+
+    def wrapped(group):
+        try:
+            return run(group)
+        finally:
+            if group.nbytes >= LARGE_GROUP:
+                give_back()
+
+    return wrapped
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, with underscores before it until it differs from all names taken; case does not matter."""
     lower = {t.lower() for t in taken}

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, slices, strings
+from querygavel.llm.common import Scratch, documents, frugal, slices, strings
 
 #: Bytes of different contents that one table may hold.
 TABLE_BYTES = 32 << 20
@@ -161,14 +161,14 @@ def exact_groups(docs: DataFrame, scratch: Scratch, table_bytes: int = TABLE_BYT
     file is read by a task whole: records are compared as they come.
     """
     local = scratch.table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_collapsed, _LOCAL_DDL), "collapsed"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(_collapsed), _LOCAL_DDL), "collapsed"
     )
     reps = local.where("content IS NOT NULL").select("rep", "hash", "n_bytes", "content")
     found = scratch.table(
         reps.select("rep", "hash", "content", _leaf(reps.drop("content"), table_bytes).alias("leaf"))
         .repartition("leaf")
         .sortWithinPartitions("leaf")
-        .mapInArrow(_grouped, "rep bigint, group bigint, text_sha256 string"),
+        .mapInArrow(frugal(_grouped), "rep bigint, group bigint, text_sha256 string"),
         "groups",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")

@@ -142,17 +142,23 @@ _HITS = pa.schema(
 _HITS_DDL = "query_id bigint, kth bigint, vec_ids array<bigint>, scores array<bigint>"
 
 
+def _single(vectors: DataFrame) -> DataFrame:
+    """One row for each vec_id."""
+    return vectors.groupBy("vec_id").agg(F.min(F.struct("dim", "vec")).alias("row")).select("vec_id", "row.*")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query with all other vectors.
 
-    ``vectors`` and ``queries`` have vec_id, dim and vec (see integer_vectors); the vec_ids of vectors are unique. Only
-    vectors of the query's length are compared with it. Ties go to the smaller vec_id; with fewer than k candidates all
+    ``vectors`` and ``queries`` have vec_id, dim and vec (see integer_vectors). Of rows that share a vec_id, the one with
+    the smallest (dim, vec) counts. Only vectors of the query's length are compared with it. Ties go to the smaller vec_id; with fewer than k candidates all
     are returned; a query without any has no row. Scores must fit 64-bit integers.
 
     Vectors are dealt to shards of about 4,096 by their id. A query is first searched in the shard of its own id; its
     kth score then goes along to all other shards, where boxes that cannot reach it are not opened. Queries travel in
     blocks, and to each shard once: blocks times shards is the size of the question itself.
     """
+    vectors, queries = scratch.table(_single(vectors), "vectors"), _single(queries)
     n = vectors.count()
     shards = max(1, -(-n // SHARD_ROWS))
     shard_of = lambda column: F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, slices, strings
+from querygavel.llm.common import Scratch, documents, frugal, slices, strings
 from querygavel.llm.library_tokens import library_encoder
 
 CAPACITY = 2048
@@ -63,28 +63,32 @@ def places(frozen: dict[int, tuple[np.ndarray, ...]], length: np.ndarray, k: np.
     return sequence, offset
 
 
-def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: the largest value of pieces of total length c at most; last[c]: a piece in it, 0 for none."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
+    """best[c]: the largest value of pieces of total length c at most, of any number of each."""
+    best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
         found = best[c - 1 :: -1] + value[1 : c + 1] if c > 1 else best[:1] + value[1:2]
+        best[c] = max(found.max(), best[c - 1])
+    return best
+
+
+def _filling(best: np.ndarray, value: np.ndarray, left: np.ndarray, first: int, capacity: int) -> tuple[tuple[int, int], ...]:
+    """The heaviest filling with a piece of length ``first``, of pieces that are there: at most left[l] of length l.
+
+    Follows the program, but where a length is used up, the best of the others takes its place.
+    """
+    counts, room, worth = {first: 1}, capacity - first, value.copy()
+    if left[first] <= 1:
+        worth[first] = -np.inf
+    while room > 0:
+        found = worth[1 : room + 1] + best[room - 1 :: -1] if room > 1 else worth[1:2] + best[:1]
         i = int(found.argmax())
-        if found[i] > best[c - 1]:
-            best[c], last[c] = found[i], i + 1
-        else:
-            best[c] = best[c - 1]
-    return best, last
-
-
-def _filling(last: np.ndarray, first: int, capacity: int) -> tuple[tuple[int, int], ...]:
-    counts: dict[int, int] = {first: 1}
-    c = capacity - first
-    while c > 0:
-        if last[c]:
-            counts[int(last[c])] = counts.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
+        if found[i] == -np.inf:
+            break
+        counts[i + 1] = counts.get(i + 1, 0) + 1
+        if counts[i + 1] >= left[i + 1]:
+            worth[i + 1] = -np.inf
+        room -= i + 1
     return tuple(sorted(counts.items(), reverse=True))
 
 
@@ -105,17 +109,19 @@ def configuration_lp(counts: np.ndarray, capacity: int) -> dict[tuple, float]:
             break
         # Nothing is covered twice, and no length by more than a small share before weights are set anew.
         room = np.minimum(np.maximum(1.0, STEP * want), want - covered)
+        rest = np.zeros(capacity + 1)
+        rest[present] = np.ceil(want - covered)
         weight = np.where(room > 0, np.exp(-RATE * (share - share.min())) * present, -np.inf)
         value = np.full(capacity + 1, -np.inf)
         value[present] = weight
-        best, last = _knapsack(value, capacity)
+        best = _knapsack(value, capacity)
         total = weight + best[capacity - present]
         for i in np.argsort(-total, kind="stable"):
             if total[i] < 0.8 * total.max():
                 break
             if room[i] <= 0:
                 continue
-            filling = _filling(last, int(present[i]), capacity)
+            filling = _filling(best, value, rest, int(present[i]), capacity)
             take = int(min(room[at[length]] / many for length, many in filling))
             if take < 1:
                 continue
@@ -127,49 +133,66 @@ def configuration_lp(counts: np.ndarray, capacity: int) -> dict[tuple, float]:
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> Layout:
-    """A layout of all pieces; ``counts[l]`` is how many pieces have length l, up to the capacity."""
+    """A layout of all pieces; ``counts[l]`` is how many pieces have length l, up to the capacity.
+
+    The linear program runs at every size, and anew for what rounding down left. What is left after that goes, length by
+    length, where it leaves least room, the room in the program's own fillings included.
+    """
     left = counts.astype(np.int64).copy()
-    layout = Layout(capacity)
+    fillings: dict[tuple[tuple[int, int], ...], int] = defaultdict(int)
     if left[capacity]:
-        layout.add([(capacity, 1)], int(left[capacity]))
+        fillings[((capacity, 1),)] = int(left[capacity])
         left[capacity] = 0
     for _ in range(PASSES):
         before = int(left.sum())
-        if before < 4 * capacity:
+        if not before:
             break
         for filling, x in sorted(configuration_lp(left, capacity).items(), key=lambda item: (-item[1], item[0])):
             times = min(int(x), min(int(left[length]) // many for length, many in filling))
             if times:
-                layout.add(list(filling), times)
+                fillings[filling] += times
                 for length, many in filling:
                     left[length] -= times * many
-        if left.sum() > 0.7 * before:
+        if left.sum() > 0.5 * before:
             break
-    _best_fit(layout, left, capacity)
+    layout = Layout(capacity)
+    for filling, times in _best_fit(fillings, left, capacity).items():
+        layout.add(list(filling), times)
     return layout
 
 
-def _best_fit(layout: Layout, left: np.ndarray, capacity: int) -> None:
-    """From the longest piece down, each into the sequence that it leaves least room in."""
-    by_room: dict[int, list[list[int]]] = defaultdict(list)
+def _best_fit(fillings: dict[tuple, int], left: np.ndarray, capacity: int) -> dict[tuple, int]:
+    """Fillings with all that is left: from the longest piece down, each into the sequence that it leaves least room in.
+
+    Sequences of equal content are one entry and take equal pieces together, so the steps grow with the lengths and
+    fillings there are and not with the pieces.
+    """
+    by_room: dict[int, dict[tuple, int]] = defaultdict(dict)
     rooms = 0  # bit r: some sequence has room r
-    bins: list[list[int]] = []
-    for length in range(capacity, 0, -1):
-        for _ in range(int(left[length])):
+    room_of = lambda filling: capacity - sum(length * many for length, many in filling)
+    for filling, times in fillings.items():
+        by_room[room_of(filling)][filling] = times
+        rooms |= 1 << room_of(filling)
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
+        while n:
             fitting = rooms >> length
-            if fitting:
-                room = length + (fitting & -fitting).bit_length() - 1
-                own = by_room[room].pop()
-                if not by_room[room]:
-                    rooms &= ~(1 << room)
-            else:
-                room, own = capacity, []
-                bins.append(own)
-            own.append(length)
-            by_room[room - length].append(own)
-            rooms |= 1 << (room - length)
-    for own in bins:
-        layout.add([(length, own.count(length)) for length in sorted(set(own), reverse=True)], 1)
+            room = length + (fitting & -fitting).bit_length() - 1 if fitting else capacity
+            filling, times = by_room[room].popitem() if fitting else ((), n)
+            # A sequence that fits best is the best for the next equal piece too, until it is full.
+            many = min(n, room // length)
+            taking = min(times, n // many)
+            if fitting and times > taking:
+                by_room[room][filling] = times - taking
+            if not by_room[room]:
+                rooms &= ~(1 << room)
+            counts = dict(filling)
+            counts[length] = counts.get(length, 0) + many
+            filled = tuple(sorted(counts.items(), reverse=True))
+            n -= taking * many
+            by_room[room - many * length][filled] = by_room[room - many * length].get(filled, 0) + taking
+            rooms |= 1 << (room - many * length)
+    return {filling: times for same in by_room.values() for filling, times in same.items()}
 
 
 _PIECES = pa.schema(
@@ -230,7 +253,7 @@ def pack(
     keep = keep or {"ids": F.col("ids")}
     pieces = scratch.table(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            lambda it: _cut(it, path, end_id, capacity), _PIECES_DDL
+            frugal(lambda it: _cut(it, path, end_id, capacity)), _PIECES_DDL
         ),
         "pieces",
         codec="zstd",

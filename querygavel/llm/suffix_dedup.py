@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, free_name, mixed, powers, prefix_hashes, slices, strings
+from querygavel.llm.common import Scratch, documents, free_name, frugal, mixed, powers, prefix_hashes, slices, strings
 from querygavel.llm.suffix_sort import repeated
 
 LENGTH, GRAM, SLICE = 400, 32, 128
@@ -340,7 +340,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = keyed.where(F.octet_length("text") >= LENGTH)
     answers = scratch.table(
-        long.mapInArrow(lambda it: _asked(it, buckets), "bucket int, chunk bigint, known boolean, entries binary")
+        long.mapInArrow(frugal(lambda it: _asked(it, buckets)), "bucket int, chunk bigint, known boolean, entries binary")
         .groupBy("bucket")
         .applyInArrow(_answered, _ANSWER_DDL)
         .groupBy("number")
@@ -352,7 +352,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.table(
         long.join(answers.hint("merge"), ["doc_id", "text_hash"])
         .select("doc_id", "text_hash", "text", "keys", "hot")
-        .mapInArrow(_gathered, _FOUND_DDL),
+        .mapInArrow(frugal(_gathered), _FOUND_DDL),
         "slices",
         "kind",
     )
@@ -361,7 +361,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .select("doc_id", "text_hash", "start", "stop", "key", "data")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_sorted, "doc_id bigint, text_hash bigint, start bigint, stop bigint")
+        .mapInArrow(frugal(_sorted), "doc_id bigint, text_hash bigint, start bigint, stop bigint")
     )
     strings = found.where("kind = 2")
     # A string without an owner stands for two at least.
@@ -419,7 +419,7 @@ def with_spans(docs: DataFrame, scratch: Scratch, name: str = "spans") -> DataFr
 
 
 def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What removing repeated passages leaves of each document."""
+    """What removing repeated passages leaves of each document; ``changed`` where any byte went."""
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return with_spans(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark)).select(
         "doc_id",
@@ -428,6 +428,7 @@ def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"]), F.lit(0).cast("long")
         ).alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        (F.coalesce(F.size("spans"), F.lit(0)) > 0).alias("changed"),
         F.sha2(kept_bytes(data, F.col("spans")), 256).alias("kept_sha256"),
     )
 
@@ -462,7 +463,7 @@ def cut_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([own])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != own)
-    cut = found.mapInArrow(run, kinds)
+    cut = found.mapInArrow(frugal(run), kinds)
     if "n_chars" in names:
         number = cut.schema["n_chars"].dataType
         changed = F.when(F.col("text").isNotNull(), F.length("text").cast(number)).otherwise(F.col("n_chars"))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, mixed, strings
+from querygavel.llm.common import Scratch, documents, frugal, frugal_group, mixed, strings
 from querygavel.llm.components import connected_components
 from querygavel.llm.shingles import shingle_sets
 
@@ -19,6 +19,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Documents that one task compares with one another; and documents that all of a larger cluster are compared with.
 BLOCK_DOCS, PIVOTS = 400, 48
+#: Elements whose permutations (a byte for each slot) are held at once.
+SLICE_ELEMENTS = 100_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,6 +55,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def set_signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """``signatures`` with permutations for SLICE_ELEMENTS elements at once, however large a set is.
+
+    The values of a set are the least of those of its slices, slot by slot.
+    """
+    pieces, owner, out, held = [], [], np.full((len(sets), SLOTS), np.inf), 0
+
+    def lower() -> None:
+        np.minimum.at(out, np.array(owner), signatures(pieces))
+
+    for i, shingles in enumerate(sets):
+        for start in range(0, len(shingles), SLICE_ELEMENTS):
+            piece = shingles[start : start + SLICE_ELEMENTS]
+            if held and held + len(piece) > SLICE_ELEMENTS:
+                lower()
+                pieces, owner, held = [], [], 0
+            pieces.append(piece)
+            owner.append(i)
+            held += len(piece)
+    if pieces:
+        lower()
+    return out
+
+
 def band_keys(h: np.ndarray) -> np.ndarray:
     """A 64-bit hash for each band of each signature; the band is part of it."""
     bits = h.view(np.uint64).reshape(len(h), BANDS, ROWS)
@@ -77,7 +103,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     def out(ids, sets):
-        keys = iter(band_keys(signatures([s for s in sets if len(s)])).tolist())
+        keys = iter(band_keys(set_signatures([s for s in sets if len(s)])).tolist())
         rows = [(i, len(s), *_digest(s), next(keys) if len(s) else []) for i, s in zip(ids, sets, strict=True)]
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIGNED, strict=True)], schema=_SIGNED)
@@ -88,7 +114,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             ids.append(doc_id)
             held.append(shingles)
             total += len(shingles)
-            if total > 100_000:
+            if total > SLICE_ELEMENTS:
                 yield out(ids, held)
                 ids, held, total = [], [], 0
         if ids:
@@ -226,7 +252,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80
     cluster, block by block. So no link between different parts is lost, and no group is gathered in one place.
     """
     signed = scratch.table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _signed(it, k), _SIGNED_DDL),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(lambda it: _signed(it, k)), _SIGNED_DDL),
         "signatures",
     )
     classes = scratch.table(
@@ -253,7 +279,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80
     )
     small = members.where(F.col("size") <= BLOCK_DOCS)
     edges = scratch.table(
-        small.select("cluster", "node", "text").groupBy("cluster").applyInArrow(_link_small(k, percent), "a bigint, b bigint"),
+        small.select("cluster", "node", "text").groupBy("cluster").applyInArrow(frugal_group(_link_small(k, percent)), "a bigint, b bigint"),
         "links",
     )
     large = members.where(F.col("size") > BLOCK_DOCS)
@@ -299,7 +325,7 @@ def _large_links(large: DataFrame, scratch: Scratch, k: int, percent: int) -> Da
     masks = scratch.table(
         rows.unionByName(asked)
         .groupBy("cluster", "block")
-        .applyInArrow(_link_pivots(k, percent), "cluster bigint, node bigint, mask bigint"),
+        .applyInArrow(frugal_group(_link_pivots(k, percent)), "cluster bigint, node bigint, mask bigint"),
         "masks",
     )
     main = (
@@ -327,7 +353,7 @@ def _large_links(large: DataFrame, scratch: Scratch, k: int, percent: int) -> Da
     found = (
         queries.unionByName(against)
         .groupBy("cluster", "block", "part")
-        .applyInArrow(_link_rest(k, percent), "a bigint, b bigint")
+        .applyInArrow(frugal_group(_link_rest(k, percent)), "a bigint, b bigint")
     )
     return to_pivots.unionByName(found)
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import documents, strings
+from querygavel.llm.common import documents, frugal, strings
 
 #: Bounds of the training sample: documents of each class, and bytes of one document. They bound what the driver holds.
 SAMPLE_DOCS = 1500
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     return (
         docs.select("doc_id", "text")
-        .mapInArrow(lambda it: _scored(model, it), "doc_id bigint, held_out boolean, score double")
+        .mapInArrow(frugal(lambda it: _scored(model, it)), "doc_id bigint, held_out boolean, score double")
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     )
 
@@ -241,7 +241,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, name])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*kinds, f"`{name}` double"]))
+    return docs.mapInArrow(frugal(run), ", ".join([*kinds, f"`{name}` double"]))
 
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

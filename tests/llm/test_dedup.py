@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from types import SimpleNamespace
@@ -197,8 +198,14 @@ def test_suffix_sort_order():
 def test_registered_query(spark, tmp_path):
     rows = [(i, t) for i, (_, t) in enumerate(ROWS + passages())]
     found = suffix_dedup.passages_removed(spark, save_documents(spark, tmp_path, rows)).collect()
-    expected = {d: (len((t or "").encode()), sum(b - a for a, b in s), len(s)) for d, t, s in brute_spans(rows)}
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in found} == expected
+    expected = {}
+    for d, t, spans in brute_spans(rows):
+        data, at, kept = (t or "").encode(), 0, b""
+        for a, b in spans:
+            kept, at = kept + data[at:a], b
+        removed = sum(b - a for a, b in spans)
+        expected[d] = (len(data), removed, len(spans), removed > 0, hashlib.sha256(kept + data[at:]).hexdigest())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.changed, r.kept_sha256) for r in found} == expected
 
 
 class Kept(Scratch):
@@ -256,3 +263,12 @@ def test_what_chunks_know_is_dealt_evenly(monkeypatch, buckets):
         seen += [r["bucket"] for r in rows if r["known"]]
     assert len(seen) == 64 and all(0 <= b < buckets for b in seen)
     assert len(set(seen)) > 30 and max(map(seen.count, seen)) < 8
+
+
+def test_signatures_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (1, 700, 3, 90, 1501)]
+    whole = super_minhash.signatures(sets)
+    monkeypatch.setattr(super_minhash, "SLICE_ELEMENTS", 100)
+    assert (super_minhash.set_signatures(sets) == whole).all()
+    assert super_minhash.set_signatures([]).shape == (0, super_minhash.SLOTS)

@@ -113,6 +113,15 @@ def test_top_k(spark, monkeypatch, shard_rows, leaf):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(whole, 5)
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(1, 30)]
+    twice = [*rows, *rows[:5], (3, [99.0, 99.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0])]
+    vectors = kd_topk.integer_vectors(spark.createDataFrame(twice, "vec_id bigint, embedding array<double>"), "vec_id", "embedding")
+    got = kd_topk.top_k(vectors, vectors.where("vec_id = 50"), Scratch(spark), 5).collect()
+    whole = [(i, [int(256 * x) for x in v]) for i, v in [*rows, (50, [1.0, 1.0])]]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(whole, 5)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     vectors = kd_topk.integer_vectors(df, "vec_id", "embedding")

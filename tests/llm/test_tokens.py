@@ -1,4 +1,5 @@
 import base64
+import sys
 import zlib
 
 import numpy as np
@@ -8,10 +9,10 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from querygavel.llm import byte_bpe, rans
+from querygavel.llm import byte_bpe, packing, rans
 from querygavel.llm.common import Scratch
 from querygavel.llm.library_tokens import library_encoder
-from querygavel.llm.packing import Layout, _best_fit, pack, places, solve
+from querygavel.llm.packing import _best_fit, pack, places, solve
 from querygavel.llm.perfect_hash import PerfectHash
 from querygavel.llm.pretokens import Memo
 from tests.llm.common import ROWS, empty, prose, table
@@ -22,9 +23,9 @@ TEXTS = [t or "" for _, t in ROWS] + ["  lead", "trail  ", "a  b", "don't I'll",
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_stretches_encode_as_whole_texts(name):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     own = library_encoder(public_tokenizers.path(name))
-    for text in TEXTS:
+    special = ["x <|endoftext|> y", "<|endoftext|><|startoftext|>", " <|endoftext|>don't <|startoftext|>\n\n A", "<|endoftext|", "a <|endoftext|>  "]
+    for text in [*TEXTS, *special]:
         ids = whole.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own(text), "<u4").tolist() == ids, text
 
@@ -37,10 +38,26 @@ def test_other_tokenizers_are_refused(tmp_path):
 
 
 def test_memo_is_bounded():
-    kept, cleared = Memo(str.encode, 2, keep=True), Memo(str.encode, 2, keep=False)
+    size = sys.getsizeof("a") + sys.getsizeof(b"a") + Memo.ENTRY_BYTES
+    kept, cleared = Memo(str.encode, 2 * size, keep=True), Memo(str.encode, 2 * size, keep=False)
     for memo in (kept, cleared):
         assert [memo[k] for k in "abcab"] == [b"a", b"b", b"c", b"a", b"b"]
-        assert len(memo) <= 2
+        assert len(memo) <= 2 and memo.bytes <= 2 * size
+        assert memo["long" * 99] == b"long" * 99 and memo.bytes <= 2 * size
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError):
+        byte_bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"[a-z]|\s+|.")
+
+
+def test_the_program_runs_for_few_pieces_too(monkeypatch):
+    runs = []
+    monkeypatch.setattr(packing, "configuration_lp", lambda *a, own=packing.configuration_lp: runs.append(own(*a)) or runs[-1])
+    counts = np.bincount(np.random.default_rng(0).integers(1, 2048, 200), minlength=2049)
+    assert sum(solve(counts).used.values()) == 200
+    covered = sum(int(x) * sum(many for _, many in f) for f, x in runs[0].items())
+    assert covered > 100
 
 
 def test_perfect_hash():
@@ -119,9 +136,8 @@ def test_layout_holds_every_piece_once(n):
     lengths = np.clip(rng.lognormal(6, 1, n), 1, 2048).astype(int)
     counts = np.bincount(lengths, minlength=2049)
     layout = solve(counts)
-    plain = Layout(2048)
-    _best_fit(plain, counts.copy(), 2048)
-    assert layout.sequences <= plain.sequences
+    plain = sum(_best_fit({}, counts.copy(), 2048).values())
+    assert layout.sequences <= plain
     assert -(-int(lengths.sum()) // 2048) <= layout.sequences
     number = np.zeros(n, np.int64)
     for length in np.unique(lengths):
