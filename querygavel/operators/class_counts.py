@@ -1,9 +1,11 @@
 """Run candidates and count the classes in their results.
 
-Two ways lead to the same table ``query_key, class, is_text, n``:
+Three ways lead to the same table ``query_key, class, is_text, n``:
 
-* conditions over one table share a scan, some dozens in one aggregate;
-* arbitrary SELECT texts are planned one by one and run as one union per chunk.
+* conditions that compare columns with constants share one scan, by an index of their constants; so do SELECT texts
+  that only filter a given table;
+* other conditions over one table share scans, some dozens in one aggregate;
+* other SELECT texts are planned one by one and run as one union per chunk.
 
 Counts are written by the executors into the shared folder, never brought to the driver.
 A chunk that fails is halved until the failing candidate stands alone.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querygavel.functions.text import quoted
+from querygavel.operators import predicate_index as index
 from querygavel.plans.safety import PARSE_ERROR, TextGuard, candidate_settings
 from querygavel.session import scratch_path
 
@@ -53,7 +56,7 @@ IS_TEXT = "typeof(class) LIKE 'string%' AS is_text"
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes of the work; none of them changes a result.
+    """Sizes of the work. Only ``seconds_per_job`` can change a result: what takes longer scores as ``timeout``.
 
     Conditions that share a scan also share generated code. Beyond some fifty comparisons
     the JVM no longer compiles it and each row costs several times as much, hence the bound
@@ -65,6 +68,7 @@ class Limits:
     condition_chars_per_job: int = 800
     parallel_jobs: int = 8
     texts_per_page: int = 2000
+    indexed_per_scan: int = 20_000
     seconds_per_job: float | None = None
 
 
@@ -227,6 +231,46 @@ class _Runner:
         )
 
 
+class _Indexed:
+    """Conditions that wait for a scan by the index, by table and label."""
+
+    def __init__(self, runner: _Runner, tables: Mapping[str, DataFrame]):
+        self.runner, self.tables, self.zone = runner, tables, runner.spark.conf.get("spark.sql.session.timeZone")
+        self._waiting: dict[tuple[str, str], list[tuple]] = {}
+        self._labels: dict[tuple[str, str], bool] = {}
+        self._lock = threading.Lock()
+        self.scans = 0
+
+    def takes(self, name: str, label_col: str) -> bool:
+        with self._lock:
+            if (name, label_col) not in self._labels:
+                self._labels[name, label_col] = index.indexable_label(self.tables[name], label_col)
+            return self._labels[name, label_col]
+
+    def add(self, name: str, label_col: str, key: str, tree, otherwise) -> None:
+        """``otherwise`` is what the other way needs, should the scan fail."""
+        with self._lock:
+            self._waiting.setdefault((name, label_col), []).append((key, tree, otherwise))
+
+    def flush(self, other_way: Callable[[str, list], None], least: int = 0) -> None:
+        """Count where at least ``least`` conditions wait; those that cannot be counted go the other way."""
+        for (name, label_col), waiting in list(self._waiting.items()):
+            if len(waiting) < least:
+                continue
+            del self._waiting[name, label_col]
+            parts, refused = index.chunks([(key, tree) for key, tree, _ in waiting])
+            left = set(refused)
+            if parts:
+                self.scans += 1
+                try:
+                    with _deadline(self.runner.spark, self.runner.limits.seconds_per_job):
+                        self.runner._write_counts(index.count_indexed(self.tables[name], parts, label_col))
+                except Exception:  # whatever fails together is tried in smaller parts
+                    left = {key for key, _, _ in waiting}
+            if left:
+                other_way(label_col, [otherwise for key, _, otherwise in waiting if key in left])
+
+
 def _read_written(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], schema)
@@ -294,25 +338,60 @@ def run_queries(
     spark = distinct.sparkSession
     runner = _Runner(spark, limits)
     guard = TextGuard(spark, views)
+    indexed = _Indexed(runner, {name.lower(): df for name, df in views.items()})
+    other_way = lambda _, plans: runner.write([(key, plan()) for key, plan in plans], _united)
     with _ONE_RUN, _own_views(spark, views):
         for page in _pages(_candidates(distinct), limits.texts_per_page):
             harmless = []
             with candidate_settings(spark):
-                for candidate in page:
+                for candidate in _not_filters(indexed, guard, page):
                     refusal = guard.check(candidate.text)
                     if refusal:
                         runner.fail(candidate.key, refusal)
                     else:
                         harmless.append(candidate)
                 jobs = [
-                    lambda chunk=chunk: _count_texts(runner, chunk)
+                    lambda chunk=chunk: _count_texts(runner, indexed, chunk)
                     for chunk in _chunks(harmless, _share(len(harmless), limits))
                 ]
                 _run_chunks(spark, limits, jobs)
+                indexed.flush(other_way, limits.indexed_per_scan)
                 runner.finish()
+        with candidate_settings(spark):
+            indexed.flush(other_way)
+            runner.finish()
     return runner.results()
 
 
+def _not_filters(
+    indexed: _Indexed, guard: TextGuard, page: Sequence[Candidate]
+) -> list[Candidate]:
+    """Hand texts that are ``select * from table where condition`` to the index; the others come back.
+
+    Their conditions are analysed together, and no plan of their own is made.
+    """
+    spark, filters, taken = indexed.runner.spark, {}, set()
+    for candidate in page:
+        found = guard.filtered(candidate.text)
+        if found and indexed.takes(found[0], candidate.label_col):
+            filters.setdefault(found[0], []).append((candidate, found[1]))
+    for name, group in filters.items():
+        view = spark.table(quoted(name))
+        column = lambda condition: F.lit(True) if condition is None else index.column_of(view, condition)
+        for some in _chunks(group, index.ANALYSED_TOGETHER):
+            nodes = index.analysed(view, [column(condition) for _, condition in some])
+            for (candidate, condition), own in zip(some, nodes):
+                try:
+                    tree = index.condition_tree(own, indexed.zone) if own else None
+                except index.NotIndexable:
+                    continue
+                if tree:
+                    way = lambda c=candidate: count_classes(spark.sql(c.text), c.label_col, c.key)
+                    indexed.add(name, candidate.label_col, candidate.key, tree, (candidate.key, way))
+                    taken.add(candidate.key)
+    return [c for c in page if c.key not in taken]
+
+
 # Views and settings belong to the session, so runs in one session take turns.
 _ONE_RUN = threading.RLock()
 
@@ -337,14 +416,18 @@ def _own_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> Iterator[
             df.createOrReplaceTempView(name)
 
 
-def _count_texts(runner: _Runner, chunk: Sequence[Candidate]) -> None:
-    """Plan the texts of a chunk and run those that can be planned."""
+def _count_texts(runner: _Runner, indexed: _Indexed, chunk: Sequence[Candidate]) -> None:
+    """Plan the texts of a chunk; those that only filter a table wait for the index, the others run."""
     planned = []
     for candidate in chunk:
         try:
             result = runner.spark.sql(candidate.text)
             counts = count_classes(result, candidate.label_col, candidate.key)
-            planned.append((candidate.key, counts))
+            name, tree = index.filtered_table(result, candidate.label_col, indexed.zone)
+            if name in indexed.tables and indexed.takes(name, candidate.label_col):
+                indexed.add(name, candidate.label_col, candidate.key, tree, (candidate.key, lambda c=counts: c))
+            else:
+                planned.append((candidate.key, counts))
         except Exception as error:  # wrong text scores, it does not stop the run
             runner.fail(candidate.key, _status_of(error))
     if planned:
@@ -358,10 +441,12 @@ def run_conditions(
     spark = distinct.sparkSession
     runner = _Runner(spark, limits)
     guard = TextGuard(spark, ())
+    indexed = _Indexed(runner, {"": table})
+    other_way = lambda label, conditions: _run_scans(runner, table, {label: conditions})
     for page in _pages(_candidates(distinct), limits.texts_per_page):
         by_label: dict[str, list[tuple[str, str]]] = {}
         with _ONE_RUN, candidate_settings(spark):
-            for candidate in page:
+            for candidate in _not_indexed(indexed, table, guard, page):
                 refusal = guard.check_predicate(candidate.text)
                 if refusal:
                     runner.fail(candidate.key, refusal)
@@ -369,24 +454,50 @@ def run_conditions(
                     by_label.setdefault(candidate.label_col, []).append(
                         (candidate.key, candidate.text)
                     )
-            jobs = []
-            for label, conditions in by_label.items():
-                shared = lambda chunk, label=label: count_conditions(table, chunk, label)
-                # A condition that does not fit into an aggregate may still work as a filter.
-                single = lambda chunk, label=label: count_classes(
-                    table.where(F.expr(chunk[0][1])), label, chunk[0][0]
-                )
-                jobs += [
-                    lambda chunk=chunk, shared=shared, single=single: runner.write(
-                        chunk, shared, single
-                    )
-                    for chunk in _scan_chunks(conditions, limits)
-                ]
-            _run_chunks(spark, limits, jobs)
+            _run_scans(runner, table, by_label)
+            indexed.flush(other_way, limits.indexed_per_scan)
             runner.finish()
+    with _ONE_RUN, candidate_settings(spark):
+        indexed.flush(other_way)
+        runner.finish()
     return runner.results()
 
 
+def _not_indexed(
+    indexed: _Indexed, table: DataFrame, guard: TextGuard, page: Sequence[Candidate]
+) -> list[Candidate]:
+    """Hand conditions that the index takes to it; the others come back."""
+    fit = [c for c in page if indexed.takes("", c.label_col)]
+    fit = [c for c in fit if guard.is_plain(c.text) or not guard.check_predicate(c.text)]
+    taken = set()
+    for some in _chunks(fit, index.ANALYSED_TOGETHER):
+        for candidate, nodes in zip(some, index.analysed(table, [c.text for c in some])):
+            try:
+                tree = index.condition_tree(nodes, indexed.zone) if nodes else None
+            except index.NotIndexable:
+                continue
+            if tree:
+                indexed.add("", candidate.label_col, candidate.key, tree, (candidate.key, candidate.text))
+                taken.add(candidate.key)
+    return [c for c in page if c.key not in taken]
+
+
+def _run_scans(runner: _Runner, table: DataFrame, by_label: Mapping[str, list]) -> None:
+    """Conditions ``(key, text)`` of each label in scans of some dozens."""
+    jobs = []
+    for label, conditions in by_label.items():
+        shared = lambda chunk, label=label: count_conditions(table, chunk, label)
+        # A condition that does not fit into an aggregate may still work as a filter.
+        single = lambda chunk, label=label: count_classes(
+            table.where(F.expr(chunk[0][1])), label, chunk[0][0]
+        )
+        jobs += [
+            lambda chunk=chunk, shared=shared, single=single: runner.write(chunk, shared, single)
+            for chunk in _scan_chunks(conditions, runner.limits)
+        ]
+    _run_chunks(runner.spark, runner.limits, jobs)
+
+
 def _scan_chunks(conditions: Sequence[tuple[str, str]], limits: Limits) -> Iterator[list]:
     """Conditions that share a scan: bounded in number and in length together."""
     chunk, chars = [], 0

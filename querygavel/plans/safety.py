@@ -7,6 +7,7 @@ calls into the JVM are refused before anything runs.
 
 from __future__ import annotations
 
+import json
 import re
 from contextlib import contextmanager
 from typing import Iterable
@@ -40,6 +41,10 @@ QUERY_WORD = re.compile(
     re.IGNORECASE,
 )
 
+# Text values without escapes, and what a plain condition does not have besides them.
+SIMPLE_TEXT = re.compile(r"'[^'\\]*'")
+NOT_PLAIN = re.compile(r"--|/\*|['\"`;\\]")
+
 # Spark would read this as an alias and a cross join.
 MISREAD_JOIN = re.compile(r"\bpositional\s+join\b", re.IGNORECASE)
 
@@ -84,6 +89,21 @@ class TextGuard:
         search_calls = bool(SUSPICIOUS.search(text))
         return None if self._reads_only(plan, frozenset(), search_calls) else REJECTED
 
+    def is_plain(self, predicate: str) -> bool:
+        """Whether a condition that Spark can analyse in brackets needs no check of its own.
+
+        It has no word of a query, and no comment or bracket could end the brackets around it.
+        """
+        bare = SIMPLE_TEXT.sub("", predicate)
+        if QUERY_WORD.search(predicate) or NOT_PLAIN.search(bare):
+            return False
+        depth = 0
+        for mark in re.findall(r"[()]", bare):
+            depth += 1 if mark == "(" else -1
+            if depth < 0:
+                return False
+        return depth == 0
+
     def check_predicate(self, predicate: str) -> str | None:
         """The same for a condition; it has to parse alone first."""
         session = getattr(self.spark, "_jsparkSession", None)
@@ -98,6 +118,32 @@ class TextGuard:
             f"select 1 from condition_probe where (\n{predicate}\n)"
         )
 
+    def filtered(self, text: str) -> tuple[str, object | None] | None:
+        """Table and condition (None for all rows) of ``select * from table where condition``; None for any other text.
+
+        One select and one from leave no room for a subquery, so such a text reads nothing but its table. The condition
+        is Spark's own parsed expression.
+        """
+        session = getattr(self.spark, "_jsparkSession", None)
+        words = [word.lower() for word in QUERY_WORD.findall(text)]
+        if session is None or words != ["select", "from"] or MISREAD_JOIN.search(text):
+            return None
+        try:
+            plan = session.sessionState().sqlParser().parsePlan(text)
+        except ParseException:
+            return None
+        nodes = json.loads(plan.toJSON())
+        kinds = [node["class"].rsplit(".", 1)[-1] for node in nodes]
+        if kinds not in (["Project", "Filter", "UnresolvedRelation"], ["Project", "UnresolvedRelation"]):
+            return None
+        stars = nodes[0]["projectList"]
+        if len(stars) != 1 or not stars[0][0]["class"].endswith(".UnresolvedStar") or len(stars[0][0]) > 2:
+            return None
+        name = nodes[-1]["multipartIdentifier"][1:-1].lower()
+        if name not in self.tables:
+            return None
+        return name, plan.child().condition() if len(kinds) == 3 else None
+
     def _reads_only(self, node, known: frozenset, search_calls: bool) -> bool:
         kind = node.getClass().getSimpleName().rstrip("$")
         if kind not in READING_NODES:

@@ -240,13 +240,19 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_candidates(
         supplier_conditions(spark, sf_dir), table=orders_labelled(spark, sf_dir)
     )
-    return rounded(scored.records.select("candidate_id", "status", *COUNTS, *RATES), *RATES)
+    return _supplier_records(scored.records)
 
 
-SCORE_BATCH_SQL = f"""
-SELECT candidate_id, 'ok' AS status, tp, fp, tn, fn, {', '.join(f'round("{c}", 6) AS "{c}"' for c in RATES)}
-FROM ({measures_sql(CONDITIONS_SQL)})
-"""
+def _supplier_records(records: DataFrame) -> DataFrame:
+    return rounded(records.select("candidate_id", "status", *COUNTS, *RATES), *RATES)
+
+
+def supplier_scores_sql(counts: str) -> str:
+    rates = ", ".join(f'round("{c}", 6) AS "{c}"' for c in RATES)
+    return f"SELECT candidate_id, 'ok' AS status, tp, fp, tn, fn, {rates} FROM ({measures_sql(counts)})"
+
+
+SCORE_BATCH_SQL = supplier_scores_sql(CONDITIONS_SQL)
 
 
 def score_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +260,52 @@ def score_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nation_records(score_candidates(nation_queries(spark, sf_dir), views).records)
 
 
+def score_batch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conditions of ``score_batch`` as SELECT texts, one for each supplier."""
+    orders = orders_labelled(spark, sf_dir)
+    texts = supplier_conditions(spark, sf_dir).withColumn("sql", F.concat(F.lit("select * from orders_labelled where "), "sql"))
+    return _supplier_records(score_candidates(texts, {"orders_labelled": orders}).records)
+
+
+def column_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions over several columns of orders, one for each supplier: ranges, lists, negations, other types."""
+    key = F.col("s_suppkey")
+    low = number_text(F.lit(1000) + F.pmod(key, F.lit(400)) * 1000)
+    high = number_text(F.lit(1000) + F.pmod(key * 7, F.lit(550)) * 1000)
+    date = F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), F.pmod(key * 3, F.lit(2400)).cast("int")), "yyyy-MM-dd")
+    sql = (
+        F.when(key % 4 == 0, F.concat(F.lit("o_totalprice between "), low, F.lit(" and "), high))
+        .when(key % 4 == 1, F.concat(F.lit("not (o_orderdate < date'"), date, F.lit("' or o_totalprice < "), low, F.lit(")")))
+        .when(key % 4 == 2, F.concat(F.lit("o_orderstatus in ('F', 'P') and o_totalprice > "), high))
+        .otherwise(F.concat(F.lit("o_orderpriority >= '3' and o_orderdate <> '"), date, F.lit("' and "), low, F.lit(" <= o_totalprice")))
+    )
+    rows = table(spark, sf_dir, "supplier").select(key.alias("candidate_id"), sql.alias("sql"))
+    return with_targets(rows, orders_labelled(spark, sf_dir))
+
+
+def score_batch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of conditions over several columns."""
+    return _supplier_records(score_candidates(column_conditions(spark, sf_dir), table=orders_labelled(spark, sf_dir)).records)
+
+
+COLUMN_COUNTS_SQL = f"""
+SELECT candidate_id, CAST(count(*) FILTER (WHERE band = 'HIGH') AS BIGINT) AS tp,
+       CAST(count(*) FILTER (WHERE band <> 'HIGH') AS BIGINT) AS fp,
+       any_value(target) AS target, any_value(total) AS total
+FROM (
+  SELECT s_suppkey AS candidate_id, s_suppkey % 4 AS part, 1000 + (s_suppkey % 400) * 1000 AS low,
+         1000 + (s_suppkey * 7 % 550) * 1000 AS high, DATE '1992-01-01' + CAST(s_suppkey * 3 % 2400 AS INTEGER) AS day
+  FROM supplier
+) CROSS JOIN ({TRUTH_SQL})
+LEFT JOIN ({ORDERS_SQL}) ON CASE part
+  WHEN 0 THEN o_totalprice BETWEEN low AND high
+  WHEN 1 THEN NOT (o_orderdate < day OR o_totalprice < low)
+  WHEN 2 THEN o_orderstatus IN ('F', 'P') AND o_totalprice > high
+  ELSE o_orderpriority >= '3' AND o_orderdate <> day AND low <= o_totalprice END
+GROUP BY candidate_id
+"""
+
+
 def score_batch_noguard(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = {"orders_labelled": orders_labelled(spark, sf_dir)}
     return _nation_records(score_candidates(nation_queries(spark, sf_dir), views, guard=False).records)
@@ -445,6 +497,8 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "score_batch": (score_batch, SCORE_BATCH_SQL),
+    "score_batch_texts": (score_batch_texts, SCORE_BATCH_SQL),
+    "score_batch_columns": (score_batch_columns, supplier_scores_sql(COLUMN_COUNTS_SQL)),
     "score_batch_queries": (score_batch_queries, nation_scores_sql(True, "skip")),
     "score_batch_noguard": (score_batch_noguard, nation_scores_sql(False, "skip")),
     "score_errors": (score_errors, SCORE_ERRORS_SQL),
