@@ -276,6 +276,8 @@ def _constant(node: dict, zone: str) -> _Value:
             return _Value(kind, text)
         if kind.startswith("decimal("):
             return _Value(kind, decimal.Decimal(text))
+        if text.lstrip("-").isdigit():
+            return _Value(kind, int(text))  # days or microseconds since 1970
         if kind == "date":
             return _Value(kind, (datetime.date.fromisoformat(text) - datetime.date(1970, 1, 1)).days)
         if kind == "timestamp" and zone not in ("UTC", "Etc/UTC", "Z", "GMT"):

@@ -9,7 +9,6 @@ from querygavel.operators import class_counts, predicate_index
 from querygavel.operators.class_counts import Limits, count_classes, run_conditions, run_queries
 from querygavel.plans.safety import TextGuard, candidate_settings
 
-KINDS = "id int, big bigint, f float, v double, s string, b boolean, d date, ts timestamp, m decimal(9,2), label string"
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +33,7 @@ def mixed(spark):
     ]
     text = "id int, big bigint, f float, v double, s string, b boolean, d string, ts string, m string, label string"
     df = spark.createDataFrame(rows, text).repartition(3)
-    return df.withColumns({"d": F.col("d").cast("date"), "ts": F.col("ts").cast("timestamp"), "m": F.col("m").cast("decimal(9,2)")})
+    return df.withColumns({"d": F.col("d").cast("date"), "ts": F.col("ts").cast("timestamp"), "n": F.col("ts").cast("timestamp_ntz"), "m": F.col("m").cast("decimal(9,2)")})
 
 
 INDEXED = [
@@ -43,7 +42,7 @@ INDEXED = [
     "id <=> 4", "id > 2.5", "id >= 2.5", "id > 9999999999", "big > 9007199254740992", "big = 9007199254740993", "v > 2.5",
     "v = double('nan')", "v > double('infinity')", "v <= -0.0", "v = 0", "f > 2", "f = float(0.1)", "f > 0.1D", "s = 'a'", "s > 'Z'",
     "s <= 'ä'", "s in ('a', '')", "b", "not b", "b = false", "b or id > 5", "d > '2011-02-01'", "d = date'2010-03-11'",
-    "d between '2010-05-01' and '2011-05-01'", "ts < '2011-01-03'", "ts >= timestamp'2011-01-02 05:00:00.5'", "m > 3", "m = 2.5",
+    "d between '2010-05-01' and '2011-05-01'", "ts < '2011-01-03'", "ts >= timestamp'2011-01-02 05:00:00.5'", "m > 3", "m = 2.5", "n > '2011-01-03'", "n <> date'2011-01-03'",
     "m in (1.25, 3)", "id > 3 and s = 'a' or v is null", "not (id > 3 and (s = 'a' or v < 3))", "true", "false", "id > 3 and null",
     "id > null", "(id > 1) and ((id < 20))", "id > 1 + 2 * 3", "d > date_add(date'2010-01-01', 500)", "id > 3 and id > 5 and v > 1 and m < 3",
 ]
