@@ -94,6 +94,34 @@ def test_asof_without_zone_and_with_a_stray_time(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 60])
+def test_asof_hands_rows_over_many_ranges(spark, buckets):
+    draw = random.Random(8)
+    # One key has nearly all rows, its few right rows lie far apart, one time is far off, and many rows share a time.
+    left = [(i, "hot", draw.choice([500, draw.randrange(1000)]), None) for i in range(3000)]
+    left += [(5000 + i, draw.choice(["a", "b", None]), draw.choice([None, draw.randrange(1000)]), 1) for i in range(60)] + [(9000, "hot", None, 0)]
+    right = [("hot", 100, None, 5), ("hot", 100, 7, 1), ("hot", 640, 8, None), ("hot", 10**9, 9, 9), ("b", 300, 3, 3), ("c", 1, 1, 1), (None, 0, 2, 2)]
+    ldf = spark.createDataFrame(left, "id long, k string, at long, row long").repartition(5)
+    rdf = spark.createDataFrame(right, "k string, at long, p long, found long")
+    got = asof_join(ldf, rdf, "k", "at", ["p", "found"], buckets)
+    assert got.columns == ["id", "k", "at", "row", "p", "found"]
+    want = []
+    for row in left:
+        fit = [r for r in right if None not in (r[0], row[1], row[2]) and r[0] == row[1] and r[1] <= row[2]]
+        best = max(fit, key=lambda r: (r[1], *((x is not None, x or 0) for x in r[2:])), default=(None,) * 4)
+        want.append((*row, *best[2:]))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_asof_of_nothing(spark):
+    none = spark.createDataFrame([], "k double, at long, p long")
+    some = spark.createDataFrame([(float("nan"), 1, 5), (float("nan"), 0, 6), (0.0, 2, 7)], "k double, at long, p long")
+    assert asof_join(none, some, "k", "at", ["p"]).count() == 0
+    empty = asof_join(some.drop("p"), none, "k", "at", ["p"]).collect()
+    assert len(empty) == 3 and all(r.p is None for r in empty)
+    assert sorted(r.p for r in asof_join(some.drop("p"), some, "k", "at", ["p"]).collect()) == [5, 6, 7]
+
+
 def test_sweep_edges(spark):
     values = [1.0, 2.0, 2.0, -0.0, 0.0, float("nan"), None, float("inf"), -5.0]
     rows = [(v, "x" if i % 2 else "y") for i, v in enumerate(values)] + [(3.0, None)]
