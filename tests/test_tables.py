@@ -178,6 +178,33 @@ def test_asof_like_brute_force(spark):
     assert asof_join(ldf, rdf.where("rid < 0"), "k", "ts", ["rid"]).where("rid is null").count() == len(left)
 
 
+def test_bm25_skips_blocks(spark, monkeypatch):
+    from querygavel.operators import search
+
+    draw = random.Random(6)
+    topics = [[f"t{n}w{i}" for i in range(6)] for n in range(20)]
+    rows = [(i, " ".join(draw.choices(topics[i // 32] + ["the"], k=12 + i % 7))) for i in range(640)] + [(1000, None), (1001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(0, "the t3w1 t3w2"), (1, "t7w0 the"), (2, "nothing")], "query_id long, text string")
+    whole = {tuple(r) for r in bm25_search(docs, asked, 5).collect()}
+    monkeypatch.setattr(search, "_blocks", small_blocks)
+    for only in (None, asked.select(F.explode(search.words(F.col("text"))).alias("term"))):
+        index = search.build_index(docs, only=only)
+        assert index.rows.where("term = ''").count() == 21
+        found = search.search_index(index, asked, 5, "query_id", "text", 6)
+        assert {tuple(r) for r in found.hits.select("query", "id", "score", "place").collect()} == whole and len(whole) == 10
+        flags = {(r["query"], r.scored): r["count"] for r in found.bounds.groupBy("query", "scored").count().collect()}
+        # "the" is everywhere, so every block has a bound; only those of the topic are opened.
+        assert flags[0, False] >= 15 and flags[1, False] >= 15 and flags[0, True] <= 5
+
+
+def small_blocks(batches, kept):
+    from querygavel.operators import search as own
+
+    for number, batch in enumerate(b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
+        yield own._block(number, batch, kept)
+
+
 def test_bm25_like_brute_force(spark):
     draw = random.Random(5)
     vocabulary = ["alpha", "beta", "gamma", "Été", "x1", "zeta"]
