@@ -72,10 +72,10 @@ class StretchEncoder:
         pieces: Callable[[str], list[str]],
         prepare: Callable[[str], str] | None = None,
         spaced: bool = True,
-        most_bytes: int = 64 << 20,
+        most_bytes: int = 96 << 20,
     ):
         self.pieces, self.prepare, self.space = pieces, prepare, " " if spaced else ""
-        self.piece_memo = Memo(encode, most_bytes // 2, keep=False)
+        self.piece_memo = Memo(encode, most_bytes, keep=False)
         self.memo = Memo(self._stretch, most_bytes, keep=True)
         self.get = self.memo.__getitem__
 
