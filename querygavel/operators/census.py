@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from querygavel.functions.measures import with_measures
 from querygavel.functions.text import quoted
+from querygavel.operators.firsts import first_rows
 
 
 def label_census(df: DataFrame, label: str, where: str | Column | None = None) -> DataFrame:
@@ -29,25 +30,19 @@ def class_mix(
 ) -> DataFrame:
     """The first ``caps[class]`` rows of each named class, never more; ``columns`` of them.
 
-    Ties are broken by the other columns, and rows without an order value come last. Spark
-    limits each class to the largest cap in every task, before rows are shuffled; one pass
-    serves any number of classes. With ``distinct``, equal rows are kept once, after the caps.
+    Ties are broken by the other columns, and rows without an order value come last. Cuts from a sketch
+    of each class let most rows pass or fall out unranked; only rows near a cap are
+    numbered, over ranges. With ``distinct``, equal rows are kept once, after the caps.
     """
-    wanted = {name: cap for name, cap in caps.items() if cap > 0}
-    kept = list(columns or df.columns)
+    wanted = [(name, cap) for name, cap in caps.items() if cap > 0]
+    kept = [F.col(quoted(name)) for name in columns or df.columns]
     if not wanted:
-        return df.where(F.lit(False)).select(*[F.col(quoted(name)) for name in kept])
-    cap = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), F.col(quoted(label)))
+        return df.where(F.lit(False)).select(*kept)
+    # Classes are named by text; a label of another type is compared by its text.
+    named = df.withColumn("_named", F.col(quoted(label)).cast("string"))
     ties = [F.col(quoted(name)) for name in df.columns if name not in (label, order_by)]
-    in_order = Window.partitionBy(quoted(label)).orderBy(
-        F.col(quoted(order_by)).asc_nulls_last(), F.xxhash64(*ties) if ties else F.lit(0)
-    )
-    ranked = (
-        df.where(F.col(quoted(label)).isin(*wanted))
-        .withColumn("_place", F.row_number().over(in_order))
-        .where(F.col("_place") <= max(wanted.values()))
-    )
-    mixed = ranked.where(F.col("_place") <= cap).select(*[F.col(quoted(name)) for name in kept])
+    table = df.sparkSession.createDataFrame(wanted, "_named string, cap bigint")
+    mixed = first_rows(named, "_named", order_by, [F.xxhash64(*ties)] if ties else [], table).select(*kept)
     return mixed.distinct() if distinct else mixed
 
 

@@ -2,46 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querygavel.operators.ranges import moving_means
+
 # Fixed value: lines per moving mean.
 MOVING_LINES = 20
 
-# Lines per window group; a longer run is cut into such blocks.
-BLOCK_LINES = 100_000
-
 
 def moving_mean(
-    curve: DataFrame, run: str = "run", lines: int = MOVING_LINES, block: int = BLOCK_LINES
+    curve: DataFrame, run: str = "run", lines: int = MOVING_LINES, ranges: int | None = None
 ) -> DataFrame:
     """Add ``moving_reward``, the mean of this and the preceding lines of its run.
 
-    A run is cut into blocks of lines. The last lines of a block are also sent to the next
-    one, where they only lead in, so a long run spreads over many tasks. Line numbers may
-    have gaps: the lines that are there are numbered anew, block by block.
+    Lines are dealt once to ranges of (run, line number), so a long run spreads over many tasks and gaps
+    between line numbers do not matter; the last lines of a range are handed on.
     """
-    names = curve.columns
-    rough = curve.withColumn("_rough", F.floor(F.col("line_no") / block))
-    sizes = rough.groupBy(run, "_rough").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(run).orderBy("_rough").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(
-        F.col(run).alias("_run"),
-        F.col("_rough").alias("_of"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-    )
-    within = Window.partitionBy(run, "_rough").orderBy("line_no")
-    numbered = rough.join(before, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_rough") == F.col("_of"))).withColumn(
-        "_at", F.col("_before") + F.row_number().over(within) - 1
-    )
-    at = F.col("_at")
-    own = F.floor(at / block)
-    leads_in = at % block >= block - (lines - 1)
-    homes = F.array_compact(F.array(own, F.when(leads_in, own + 1)))
-    spread = numbered.withColumn("_block", F.explode(homes))
-    frame = Window.partitionBy(run, "_block").orderBy("_at").rowsBetween(-(lines - 1), 0)
-    averaged = spread.withColumn("moving_reward", F.avg("reward").over(frame))
-    return averaged.where(F.col("_block") == own).select(*names, "moving_reward")
+    return moving_means(curve, run, [F.col("line_no")], "reward", lines, "moving_reward", ranges)
 
 
 def curve_summary(curve: DataFrame, run: str = "run") -> DataFrame:

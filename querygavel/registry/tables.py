@@ -9,6 +9,7 @@ from querygavel.operators.asof import asof_join
 from querygavel.operators.census import class_mix, label_census
 from querygavel.operators.curves import curve_summary, moving_mean
 from querygavel.operators.quantile import at_least_quantile
+from querygavel.operators.sampling import stratified_sample, uniform_sample, weighted_sample
 from querygavel.operators.summary import percent_change
 from querygavel.registry.common import table
 from querygavel.session import scratch_path
@@ -49,8 +50,40 @@ MIX_SQL = "SELECT event_id, event_type, user_id FROM (" + " UNION ALL ".join(
 ) + ")"
 
 
+SAMPLE_SEED = 7
+CLASS_SIZES = {"purchase": 150, "error": 40, "click": 10**9, "view": 0}
+
+
+def uniform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniform_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 120, SAMPLE_SEED)
+
+
+def stratified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact sizes: a part of two classes, all of one, none of another."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return stratified_sample(events, "event_type", "event_id", CLASS_SIZES, SAMPLE_SEED)
+
+
+def weighted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every class, rows drawn by their value."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return weighted_sample(events, "event_id", "value", 100, SAMPLE_SEED, label="event_type")
+
+
+BITS_SQL = f"CAST('0x' || substr(md5(concat('{SAMPLE_SEED}:', {{}})), 1, 13) AS BIGINT)"
+STRATIFIED_SQL = f"""
+SELECT event_id, event_type, value FROM events QUALIFY row_number() OVER (
+    PARTITION BY event_type ORDER BY {BITS_SQL.format('event_id')}, event_id
+  ) <= CASE event_type {' '.join(f"WHEN '{name}' THEN {size}" for name, size in CLASS_SIZES.items())} ELSE 0 END
+"""
+WEIGHTED_SQL = f"""
+SELECT event_id, event_type, value FROM events WHERE value > 0 QUALIFY row_number() OVER (PARTITION BY event_type
+    ORDER BY -ln(({BITS_SQL.format('event_id')} + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / value, event_id) <= 100
+"""
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as reward logs: one file per part of the users, with a statistics line at the end."""
+    """Events as reward logs: a folder of files per part of the users, with a statistics line at the end."""
     lines = table(spark, sf_dir, "events").select(
         F.pmod("user_id", F.lit(8)).alias("run"),
         "event_id",
@@ -68,21 +101,21 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     (
         lines.withColumn("end", F.lit(0))
         .unionByName(last.withColumn("end", F.lit(1)))
-        .repartition("run")
+        .repartitionByRange("run", "end", "event_id")
         .sortWithinPartitions("run", "end", "event_id")
         .select("run", "value")
         .write.partitionBy("run")
         .text(place)
     )
-    return numbered_lines(spark, place).withColumn(
-        "run", F.regexp_extract("file", r"run=(\d+)", 1).cast("int")
-    )
+    return numbered_lines(spark, place, whole_folders=True)
+
+
+def _with_run(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("run", F.regexp_extract("file", r"run=(\d+)", 1).cast("int"))
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _log(spark, sf_dir)
-    runs = lines.select("file", "run").distinct()
-    return reward_curve(lines).join(runs, "file")
+    return _with_run(reward_curve(_log(spark, sf_dir)))
 
 
 LOG_SQL = """
@@ -93,7 +126,7 @@ SELECT CAST(user_id % 8 AS INTEGER) AS run,
 
 
 def reward_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = moving_mean(_curve(spark, sf_dir), "run", block=1000)
+    curve = moving_mean(_curve(spark, sf_dir), "run")
     return curve.select(
         "run", "line_no", F.round("reward", 6).alias("reward"), "epoch",
         F.round("moving_reward", 6).alias("moving_reward"),
@@ -108,9 +141,7 @@ def reward_curve_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reward_log_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _log(spark, sf_dir)
-    runs = lines.select("file", "run").distinct()
-    return run_statistics(lines).join(runs, "file").select(
+    return _with_run(run_statistics(_log(spark, sf_dir))).select(
         "run", "line_no", "train_runtime", "train_samples_per_second", "train_loss", "epoch"
     )
 
@@ -233,6 +264,11 @@ QUERIES = {
     "class_capped_mix_distinct": (
         class_capped_mix_distinct, f"SELECT DISTINCT event_type, user_id FROM ({MIX_SQL})"
     ),
+    "uniform_sample": (
+        uniform_rows, f"SELECT doc_id, lang FROM documents ORDER BY {BITS_SQL.format('doc_id')}, doc_id LIMIT 120"
+    ),
+    "stratified_sample": (stratified_rows, STRATIFIED_SQL),
+    "weighted_sample": (weighted_rows, WEIGHTED_SQL),
     "reward_curve": (
         reward_curves,
         f"""SELECT run, line_no, round(reward, 6) AS reward, epoch, round(avg(reward) OVER (

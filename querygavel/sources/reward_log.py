@@ -11,32 +11,35 @@ TRAILER_ENTRIES = (
 )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, whole_folders: bool = False) -> DataFrame:
     """``file, line_no, value`` with line numbers from 1, for files of any size.
 
     Splits number their own lines; a running count over the few splits of a file
-    shifts them, so no file has to pass through one task.
+    shifts them, so no file has to pass through one task. With ``whole_folders`` a log is a folder:
+    ``file`` names it, and the lines of its files follow each other in the order of the file names.
     """
+    part = F.col("_metadata.file_path")
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        (F.regexp_replace(part, "/[^/]*$", "") if whole_folders else part).alias("file"),
+        part.alias("part"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("position"),
         "value",
     )
-    splits = lines.groupBy("file", "split_start").agg(
+    splits = lines.groupBy("file", "part", "split_start").agg(
         F.min("position").alias("first_position"), F.count(F.lit(1)).alias("n_lines")
     )
-    earlier = Window.partitionBy("file").orderBy("split_start").rowsBetween(
+    earlier = Window.partitionBy("file").orderBy("part", "split_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
     shifts = splits.select(
-        "file",
+        "part",
         "split_start",
         "first_position",
         F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)).alias("lines_before"),
     )
     line_no = F.col("position") - F.col("first_position") + F.col("lines_before") + 1
-    return lines.join(shifts, ["file", "split_start"]).select(
+    return lines.join(shifts, ["part", "split_start"]).select(
         "file", line_no.alias("line_no"), "value"
     )
 

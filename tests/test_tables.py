@@ -12,8 +12,11 @@ from querygavel.operators.asof import asof_join
 from querygavel.operators.census import class_mix, label_census, threshold_sweep
 from querygavel.operators.chats import chat_lengths, render_chats
 from querygavel.operators.curves import curve_summary, moving_mean
+from querygavel.operators.firsts import first_rows
 from querygavel.operators.lengths import cut_long, eval_sample, length_limit, within_budget
 from querygavel.operators.quantile import at_least_quantile, exact_quantile, values_at_ranks
+from querygavel.operators.ranges import numbered
+from querygavel.operators.sampling import hash_share, stratified_sample, uniform_sample, weighted_sample
 from querygavel.operators.search import B, K1, bm25_search
 from querygavel.operators.summary import group_advantage, score_change, score_summary
 
@@ -74,7 +77,7 @@ def test_moving_mean_over_gaps(spark):
     lines = [i for i in range(1, 100) if not 25 <= i <= 40]
     rows = [("r", i, float(i)) for i in lines]
     df = spark.createDataFrame(rows, "run string, line_no bigint, reward double").repartition(3)
-    got = {r.line_no: r.moving_reward for r in moving_mean(df, lines=20, block=40).collect()}
+    got = {r.line_no: r.moving_reward for r in moving_mean(df, lines=20, ranges=7).collect()}
     assert got == {n: pytest.approx(np.mean(lines[max(0, i - 19) : i + 1])) for i, n in enumerate(lines)}
 
 
@@ -284,13 +287,13 @@ def test_eval_samples(spark):
     assert training.intersect(sample).count() == 0 and training.count() + sample.count() == 1000
 
 
-def test_moving_mean_in_blocks(spark):
+def test_moving_mean_in_ranges(spark):
     draw = np.random.default_rng(4)
     curve = pd.DataFrame({"run": ["long"] * 250 + ["short"] * 5, "line_no": [*range(1, 251), *range(1, 6)]})
     curve["reward"] = draw.normal(size=len(curve))
     want = curve.groupby("run").reward.transform(lambda s: s.rolling(20, min_periods=1).mean())
-    for block in (20, 33, 1000):
-        got = moving_mean(spark.createDataFrame(curve), block=block).orderBy("run", "line_no").toPandas()
+    for ranges in (None, 3, 40, 200):
+        got = moving_mean(spark.createDataFrame(curve), ranges=ranges).orderBy("run", "line_no").toPandas()
         assert len(got) == len(curve)
         np.testing.assert_allclose(got.moving_reward, want)
     row = curve_summary(spark.createDataFrame([("r", 1, -1.0), ("r", 2, 0.5), ("r", 3, 0.5)], "run string, line_no long, reward double")).first()
@@ -313,3 +316,100 @@ def test_group_advantage(spark):
     got = group_advantage(spark.createDataFrame(rows, "prompt_id string, score double"), eps=0.0)
     by = {(r.prompt_id, r.score): r.advantage for r in got.where("prompt_id is null or prompt_id = 'p'").collect()}
     assert by[("p", 3.0)] == pytest.approx(1 / math.sqrt(2)) and by[(None, 2.0)] == pytest.approx(-1 / math.sqrt(2))
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "date", "timestamp", "timestamp_ntz", "string", "decimal(9,2)"])
+def test_first_rows_of_any_type(spark, kind):
+    base = spark.range(400).select(
+        "id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("c"), (F.col("id") * 7919 % 400).alias("v")
+    )
+    v = F.when(F.col("v") % 50 != 0, F.col("v"))
+    day = F.date_add(F.lit("1960-01-01"), v.cast("int"))
+    order = {"date": day, "string": F.lpad(v.cast("string"), 4, "0")}.get(kind, day if "time" in kind else v).cast(kind)
+    df = base.withColumn("o", order).repartition(5).cache()
+    caps = spark.createDataFrame([("a", 60), (None, 7), ("b", 10_000), ("no", 3)], "c string, cap int")
+    got = first_rows(df, "c", "o", [F.col("id")], caps).select("c", "o", "id").collect()
+    rows = df.select("c", "o", "id").collect()
+    want = []
+    for c, cap in (("a", 60), (None, 7), ("b", 10_000)):
+        of = [r for r in rows if r.c == c]
+        want += sorted(of, key=lambda r: (r.o is None, r.o if r.o is not None else 0, r.id))[:cap]
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_caps_rank_only_the_rim(spark, monkeypatch):
+    from querygavel.operators import firsts
+
+    ranked = []
+    real = firsts.numbered
+    monkeypatch.setattr(firsts, "numbered", lambda rim, *a: ranked.append(rim) or real(rim, *a))
+    df = spark.range(0, 1_200_000, numPartitions=64).select(
+        F.when(F.col("id") % 12 == 0, "small").otherwise("hot").alias("kind"), (F.col("id") * 7919 % 1_200_007).alias("o")
+    )
+    got = class_mix(df, "kind", "o", {"hot": 100_000, "small": 10})
+    counts = got.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("o").alias("last"), F.count_distinct("o").alias("d"))
+    assert {r.kind: (r.n, r.d) for r in counts.collect()} == {"hot": (100_000, 100_000), "small": (10, 10)}
+    last = counts.where("kind = 'hot'").first().last
+    assert df.where(f"kind = 'hot' and o <= {last}").count() == 100_000
+    # The rim is at most 2 * (SLACK + 1 / STEPS) of the rows, and another round makes it far smaller.
+    assert ranked[0].count() < 0.06 * 1_200_000
+    monkeypatch.setattr(firsts, "RIM_ROWS", 0)
+    again = firsts.first_rows(df, "kind", "o", [], spark.createDataFrame([("hot", 100_000), ("small", 10)], "kind string, cap int"), rim_rows=100)
+    assert again.groupBy("kind").count().where("kind = 'hot'").first()["count"] == 100_000
+    assert ranked[1].count() < 5000
+
+
+def test_first_rows_with_one_value_and_nan(spark):
+    values = [5.0] * 300 + [float("nan")] * 20 + [None] * 20 + [1.0] * 10
+    df = spark.createDataFrame([("c", v, i) for i, v in enumerate(values)], "k string, v double, i int").repartition(6)
+    for cap, sevens in ((10, 0), (50, 40), (310, 300)):
+        got = first_rows(df, "k", "v", [F.col("i")], spark.createDataFrame([("c", cap)], "k string, cap int"), ranges=9)
+        assert [(r.v, r.n) for r in got.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()] == [
+            x for x in [(1.0, 10), (5.0, sevens)] if x[1]
+        ]
+    got = first_rows(df, "k", "v", [F.col("i")], spark.createDataFrame([("c", 335)], "k string, cap int"))
+    assert got.where("isnan(v)").count() == 20 and got.where("v is null").count() == 5
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 50])
+def test_numbers_over_ranges(spark, ranges):
+    rows = [("hot", i % 40, i) for i in range(500)] + [(None, i, i) for i in range(9)] + [(f"k{i}", None, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, o int, place0 int").repartition(6)
+    got = numbered(df, "k", [F.col("o"), F.col("place0")], "n", ranges)
+    assert got.columns == ["k", "o", "place0", "n"]
+    want = []
+    for key in {r[0] for r in rows}:
+        run = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        want += [(*r, n + 1) for n, r in enumerate(run)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert numbered(df.where("false"), "k", [F.col("o")], "n", ranges).count() == 0
+
+
+def test_moving_means_skip_nulls(spark):
+    draw = random.Random(4)
+    values = [draw.choice([None, draw.random()]) for _ in range(200)]
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, line_no int, reward double").repartition(4)
+    got = {r.line_no: r.moving_reward for r in moving_mean(df, lines=5, ranges=70).collect()}
+    for i in range(200):
+        seen = [v for v in values[max(0, i - 4) : i + 1] if v is not None]
+        assert got[i] == (pytest.approx(sum(seen) / len(seen)) if seen else None)
+
+
+def test_samples(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") % 10 < 8, "hot").alias("c"),
+                                  F.when(F.col("id") % 5 != 0, F.col("id") % 100 + 1.0).alias("w")).repartition(7)
+    share = {r.id: r.s for r in df.select("id", hash_share(F.col("id"), 3).alias("s")).collect()}
+    least = lambda ids, n: sorted(ids, key=share.get)[:n]
+    assert sorted(r.id for r in uniform_sample(df, "id", 100, 3).collect()) == sorted(least(share, 100))
+    classes = {"rare": lambda i: i % 10 == 0, "hot": lambda i: 0 < i % 10 < 8, None: lambda i: i % 10 >= 8}
+    want = [i for own in classes.values() for i in least(filter(own, range(5000)), 150)]
+    got = stratified_sample(df, "c", "id", 150, 3)
+    assert got.columns == ["id", "c", "w"] and sorted(r.id for r in got.collect()) == sorted(want)
+    some = stratified_sample(df, "c", "id", {"rare": 9999, "hot": 5, "no": 4}, 3)
+    assert {r.c: r["count"] for r in some.groupBy("c").count().collect()} == {"rare": 500, "hot": 5}
+    waits = {i: -math.log(share[i]) / (i % 100 + 1.0) for i in range(5000) if i % 5}
+    drawn = {r.id for r in weighted_sample(df, "id", "w", 400, 3).collect()}
+    assert drawn == set(sorted(waits, key=waits.get)[:400])
+    # Heavy rows are drawn more often than light ones.
+    assert sum(i % 100 >= 50 for i in drawn) > 260
+    assert uniform_sample(df.where("false"), "id", 5).count() == 0 and weighted_sample(df, "id", "w", 0).count() == 0
