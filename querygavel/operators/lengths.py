@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from querygavel.session import scratch_path
+
 # The token budget of a chat, the share of prompts kept, the limit of an empty table.
 TOKEN_BUDGET = 4096
 KEPT_SHARE = 0.9
@@ -34,13 +36,17 @@ def within_budget(
 ) -> DataFrame:
     """Rows up to the budget; when there is none, the first row of the table.
 
-    One pass. The fallback rests on two small subqueries: a LIMIT 1 that stops at the
-    first fitting row, and the minimum of one narrow column.
+    Runs at once, and reads the table once: fitting rows are written to the shared folder while their number
+    and the first row of the table are observed. Both stay right when a task runs twice, since only
+    "any" and a minimum are asked. Without a fitting row, the first one is read again, alone.
     """
-    fits = F.col(length) <= budget
-    one_fits = df.where(fits).select(F.lit(True)).limit(1).scalar()
-    first = df.agg(F.min(ordinal)).scalar()
-    return df.where(fits | (one_fits.isNull() & (F.col(ordinal) == first)))
+    fits, seen = F.col(length) <= budget, Observation()
+    place = scratch_path(df.sparkSession, "fitting")
+    observed = df.observe(seen, F.count_if(fits).alias("fitting"), F.min(ordinal).alias("first"))
+    observed.where(fits).write.parquet(place)
+    if seen.get["fitting"] or seen.get["first"] is None:
+        return df.sparkSession.read.schema(df.schema).parquet(place)
+    return df.where(F.col(ordinal) == F.lit(seen.get["first"]))
 
 
 def length_limit(df: DataFrame, length: str, share: float = KEPT_SHARE) -> DataFrame:

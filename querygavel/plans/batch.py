@@ -11,9 +11,9 @@ from querygavel.functions.chat import completion_text
 from querygavel.functions.text import strip_fence
 from querygavel.operators.class_counts import Limits
 from querygavel.operators.scoring import Scored, score_candidates, with_metrics_json
-from querygavel.operators.summary import score_summary
+from querygavel.operators.summary import percent_change, score_summary
 from querygavel.sources.candidates import read_candidates
-from querygavel.sources.sinks import scored_name, write_scored
+from querygavel.sources.sinks import scored_name, write_json, write_scored
 
 
 def candidates_of(df: DataFrame) -> DataFrame:
@@ -92,3 +92,23 @@ def evaluate_completions(
     """Details per completion and the one-row summary."""
     records = score_completions(completions, views, fences=True, limits=limits).records
     return records, score_summary(records)
+
+
+def write_evaluation(initial: DataFrame, final: DataFrame, path: str, columns: list[str]) -> tuple[str, str]:
+    """The records of two scored runs as JSON: a folder ``document`` with ``initial``, ``final`` and
+    ``overall_percent_difference``, and one ``scores`` with a line for each record of both.
+
+    A run without records is NULL, and so is the difference then; from an average of 0 it is infinite, which JSON has
+    not, so it becomes NULL with a flag. Records stay out of the document, since they grow with the run.
+    """
+    summary = F.struct("sample_count", "average_score")
+    sides = initial.sparkSession.range(1).select(
+        score_summary(initial).select(summary).scalar().alias("initial"),
+        score_summary(final).select(summary).scalar().alias("final"),
+    )
+    change = percent_change(F.col("initial.average_score"), F.col("final.average_score"))
+    document = write_json(sides.withColumn("overall_percent_difference", change), f"{path}/document")
+    both = initial.select(F.lit("initial").alias("phase"), *columns).unionByName(
+        final.select(F.lit("final").alias("phase"), *columns)
+    )
+    return document, write_json(both, f"{path}/scores")

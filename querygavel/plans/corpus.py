@@ -22,7 +22,8 @@ def build_corpus(
 ) -> DataFrame:
     """``ordinal, prompt, query, schema, messages, n_tokens, text`` from prompt/query pairs.
 
-    One lazy plan without a shuffle, but for the small run's head. ``counter`` counts the
+    Texts are read and their tokens counted once, without a shuffle but for the small run's head; chats
+    within the budget are written to the shared folder and rendered from there. ``counter`` counts the
     tokens of the rendered text in place of the built-in stand-in.
     """
     pairs = keep_categories(rows, "category", kept).select(ordinal, "prompt", "query", "schema")

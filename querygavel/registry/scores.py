@@ -10,7 +10,7 @@ from querygavel.functions.leak import leak_penalty
 from querygavel.operators.census import threshold_sweep
 from querygavel.operators.scoring import score_candidates, with_metrics_json
 from querygavel.operators.summary import group_advantage, score_change, score_summary
-from querygavel.plans.batch import evaluate_completions, score_completions
+from querygavel.plans.batch import evaluate_completions, score_completions, score_file, write_evaluation
 from querygavel.registry.common import (
     ORDERS_SQL,
     TRUTH_SQL,
@@ -22,6 +22,8 @@ from querygavel.registry.common import (
     with_targets,
 )
 from querygavel.session import scratch_path
+from querygavel.sources.candidates import read_table_csv
+from querygavel.sources.sinks import write_scored
 from querygavel.streaming.arriving import score_arrivals
 
 RATES = ("precision", "recall", "f1", "weighted_f", "score")
@@ -422,6 +424,67 @@ FROM ({nation_scores_sql(True, 'error')})
 """
 
 
+def candidate_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate CSV scored into a file beside it, and that file read again."""
+    rows = nation_queries(spark, sf_dir).select(
+        F.col("candidate_id").alias("Key"),
+        F.col("sql").alias("Output"),
+        F.col("label_col").alias("Column"),
+        F.col("positive_value").alias("Attack Type"),
+        F.col("target_rows").alias("Expected Rows"),
+        F.col("total_rows").alias("Total Rows"),
+    )
+    given = write_scored(rows, scratch_path(spark, "candidates") + ".csv")
+    back = read_table_csv(spark, score_file(spark, given, {"orders_labelled": orders_labelled(spark, sf_dir)}))
+    metrics = F.from_json("Metrics", "tp bigint, fp bigint")
+    return back.select(
+        F.col("Key").cast("bigint").alias("candidate_id"),
+        F.round(F.col("Score").cast("double"), 6).alias("score"),
+        F.coalesce(metrics["tp"], F.lit(0)).alias("tp"),
+        F.coalesce(metrics["fp"], F.lit(0)).alias("fp"),
+    )
+
+
+CANDIDATE_FILE_SQL = f"""
+SELECT candidate_id, score, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp FROM ({nation_scores_sql(True, 'skip')})
+"""
+
+
+def evaluation_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scored runs, with and without the guard, as the JSON document of an evaluation."""
+    views = {"orders_labelled": orders_labelled(spark, sf_dir)}
+    runs = [
+        score_completions(_completions(spark, sf_dir, True), views, fences=True, guard=guard).records
+        for guard in (True, False)
+    ]
+    document, scores = write_evaluation(*runs, scratch_path(spark, "evaluation"), ["candidate_id", "status", "score"])
+    side = "struct<sample_count:bigint,average_score:double>"
+    back = spark.read.schema(
+        f"initial {side}, final {side}, overall_percent_difference double, overall_percent_difference_infinite boolean"
+    ).json(document)
+    lines = spark.read.schema("phase string, candidate_id bigint, status string, score double").json(scores)
+    return back.select(
+        F.col("initial.sample_count").alias("initial_count"),
+        F.round("initial.average_score", 6).alias("initial_average"),
+        F.col("final.sample_count").alias("final_count"),
+        F.round("final.average_score", 6).alias("final_average"),
+        F.round("overall_percent_difference", 4).alias("overall_percent_difference"),
+        F.col("overall_percent_difference_infinite").alias("infinite"),
+        lines.agg(F.count_if(F.col("status") == "ok")).scalar().alias("n_ok"),
+    )
+
+
+EVALUATION_SQL = f"""
+WITH r AS (SELECT 'i' AS phase, * FROM ({nation_scores_sql(True, 'error')})
+           UNION ALL SELECT 'f', * FROM ({nation_scores_sql(False, 'error')})),
+s AS (SELECT count(*) FILTER (WHERE phase = 'i') AS initial_count, avg(score) FILTER (WHERE phase = 'i') AS i,
+             count(*) FILTER (WHERE phase = 'f') AS final_count, avg(score) FILTER (WHERE phase = 'f') AS f,
+             count(*) FILTER (WHERE status = 'ok') AS n_ok FROM r)
+SELECT initial_count, round(i, 6) AS initial_average, final_count, round(f, 6) AS final_average,
+       round((f - i) / abs(i) * 100, 4) AS overall_percent_difference, FALSE AS infinite, n_ok FROM s
+"""
+
+
 def eval_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values in whole cents as scores, even and odd events as the two phases.
 
@@ -530,6 +593,8 @@ QUERIES = {
     "metrics_json": (metrics_json, METRICS_JSON_SQL),
     "reward_batch": (reward_batch, nation_scores_sql(True, "error")),
     "eval_summary": (eval_summary, EVAL_SUMMARY_SQL),
+    "candidate_file": (candidate_file, CANDIDATE_FILE_SQL),
+    "evaluation_document": (evaluation_document, EVALUATION_SQL),
     "eval_change": (eval_change, EVAL_CHANGE_SQL),
     "group_advantage": (group_advantages, ADVANTAGE_SQL),
     "score_stream": (score_stream, nation_scores_sql(True, "error")),

@@ -14,6 +14,10 @@ from querygavel.operators.search import B, K1, bm25_search
 from querygavel.plans.corpus import build_corpus
 from querygavel.plans.prompts import build_prompts, prompt_rows
 from querygavel.registry.common import quote, rounded, strip_sql, table
+from querygavel.session import scratch_path
+from querygavel.sources.candidates import read_prompt_rows
+from querygavel.sources.sinks import write_scored
+from querygavel.sources.tables import read_corpus
 
 KEPT_SOURCES = [f"src{i}" for i in range(0, 20, 3)]
 KEPT_SQL = ", ".join(quote(s) for s in KEPT_SOURCES)
@@ -178,6 +182,25 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prompt_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same prompts from a scoring-prompt CSV, in which an absent context is an empty cell."""
+    place = write_scored(_prompt_rows(spark, sf_dir), scratch_path(spark, "prompts") + ".csv")
+    return prompt_rows(read_prompt_rows(spark, place)).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("prompt")[0]["content"].alias("system_content"),
+        F.col("prompt")[1]["content"].alias("user_content"),
+        "column", "value", "target_score", "total_rows",
+    )
+
+
+def corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same corpus from JSON files."""
+    place = scratch_path(spark, "corpus")
+    _pairs(spark, sf_dir).write.json(place)
+    rows = read_corpus(spark, place, "json").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return build_corpus(rows, "doc_id", KEPT_SOURCES, budget=600).select("doc_id", "n_tokens", "text")
+
+
 def prompt_p90_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = with_length(
         prompt_rows(_prompt_rows(spark, sf_dir)), "n_tokens", rendered_tokens(F.col("prompt"), size=2)
@@ -284,6 +307,8 @@ QUERIES = {
         length_budget_fallback, f"SELECT * FROM ({LENGTHS_SQL}) ORDER BY conv_id LIMIT 1"
     ),
     "prompt_build": (prompt_build, PROMPT_SQL),
+    "prompt_file": (prompt_file, PROMPT_SQL),
+    "corpus_file": (corpus_file, CORPUS_SQL),
     "prompt_p90_cut": (prompt_p90_cut, CUT_SQL),
     "eval_head": (eval_head, f"{CUT_SQL} ORDER BY doc_id LIMIT 32"),
     "eval_hash": (

@@ -18,12 +18,13 @@ from querygavel.operators.quantile import at_least_quantile, exact_quantile, val
 from querygavel.operators.ranges import numbered
 from querygavel.operators.sampling import hash_share, stratified_sample, uniform_sample, weighted_sample
 from querygavel.operators.search import B, K1, bm25_search
+from querygavel.sources.reward_log import numbered_lines
 from querygavel.operators.summary import group_advantage, score_change, score_summary
 
 
-@pytest.mark.parametrize("direct", [3, 50, 1_000_000])
+@pytest.mark.parametrize("ranges", [None, 1, 30])
 @pytest.mark.parametrize("kind", ["spread", "copies", "heavy"])
-def test_quantile_like_numpy(spark, kind, direct):
+def test_quantile_like_numpy(spark, kind, ranges):
     draw = np.random.default_rng(1)
     values = {
         "spread": draw.normal(size=1200).round(3),
@@ -32,12 +33,12 @@ def test_quantile_like_numpy(spark, kind, direct):
     }[kind]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
     for q in (0.0, 0.5, 0.9, 0.99, 1.0):
-        assert exact_quantile(df, F.col("v"), q, direct) == pytest.approx(np.quantile(values, q), rel=1e-12)
+        assert exact_quantile(df, F.col("v"), q, ranges) == pytest.approx(np.quantile(values, q), rel=1e-12)
 
 
 def test_ranks_and_filter(spark):
     df = spark.range(1000).withColumn("v", F.col("id") * 3)
-    assert values_at_ranks(df.select("v"), lambda n: (0, n - 1), direct_values=10) == [0, 2997]
+    assert values_at_ranks(df.select("v"), lambda n: (0, n - 1), ranges=10) == [0, 2997]
     assert at_least_quantile(df, "v", 0.99).count() == 10
     assert at_least_quantile(df.where("id < 0"), "v", 0.99).count() == 0
     assert exact_quantile(df.where("id < 0"), F.col("v"), 0.5) is None
@@ -70,7 +71,7 @@ def test_two_ended_column(spark):
     values = [0.0] * 500 + [1000.0] * 500 + [float(i) for i in range(300, 500)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
     for q in (0.2, 0.45, 0.5, 0.6):
-        assert exact_quantile(df, F.col("v"), q, 50) == pytest.approx(np.quantile(values, q))
+        assert exact_quantile(df, F.col("v"), q, 9) == pytest.approx(np.quantile(values, q))
 
 
 def test_moving_mean_over_gaps(spark):
@@ -413,3 +414,56 @@ def test_samples(spark):
     # Heavy rows are drawn more often than light ones.
     assert sum(i % 100 >= 50 for i in drawn) > 260
     assert uniform_sample(df.where("false"), "id", 5).count() == 0 and weighted_sample(df, "id", "w", 0).count() == 0
+
+
+def test_quantile_scans_twice(spark, monkeypatch):
+    from querygavel.operators import quantile
+
+    brackets = []
+    real = quantile._in_bracket
+    monkeypatch.setattr(quantile, "_in_bracket", lambda values, wanted, low, high, ranges: brackets.append(
+        values.where(F.col("v").between(F.lit(low or -math.inf), F.lit(math.inf if high is None else high))).count()
+    ) or real(values, wanted, low, high, ranges))
+    n = 300_000
+    columns = {
+        "spread": F.col("id").cast("double"), "two_ended": F.when(F.col("id") % 2 == 0, 0.0).otherwise(1000.0),
+        "constant": F.lit(7.0), "skewed": F.exp(F.col("id") / 1000),
+    }
+    for name, column in columns.items():
+        df = spark.range(n).select(column.alias("v")).repartition(8)
+        values = np.sort(df.toPandas().v.to_numpy())
+        for q in (0.0, 0.3, 0.99):
+            del brackets[:]
+            assert exact_quantile(df, F.col("v"), q) == pytest.approx(np.quantile(values, q), rel=1e-12)
+            # One scan for the sketch, at most one more, which keeps few values unless they are equal.
+            assert len(brackets) == (name != "constant")
+            assert name in ("two_ended", "constant") or brackets[0] < 0.03 * n
+    # A bracket that misses is noticed.
+    values = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    assert quantile._in_bracket(values, [50], 60.0, 90.0, None) is None and quantile._in_bracket(values, [50], 10.0, 40.0, None) is None
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (None,), (float("-inf"),)], "v double")
+    assert values_at_ranks(nan, lambda n: (0, 1)) == [-math.inf, 1.0] and math.isnan(values_at_ranks(nan, lambda n: (2,))[0])
+
+
+def test_budget_reads_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500).select(F.col("id").alias("o"), (F.col("id") % 90 + 10).alias("n")).repartition(5)
+    df = df.mapInArrow(counted, df.schema)
+    assert within_budget(df, "n", "o", 20).count() == sum(i % 90 + 10 <= 20 for i in range(500)) and read.value == 500
+    # Without a fitting row, the first one is looked for once more.
+    assert [r.o for r in within_budget(df, "n", "o", 5).collect()] == [0]
+
+
+def test_log_in_folders(spark, tmp_path):
+    for run, parts in (("a", [["1, 1", "2, 2"], ["3, 3"]]), ("b", [["9, 9"]])):
+        (tmp_path / f"run={run}").mkdir()
+        for i, lines in enumerate(parts):
+            (tmp_path / f"run={run}" / f"part-{i}.txt").write_text("\n".join(lines) + "\n")
+    got = numbered_lines(spark, str(tmp_path), whole_folders=True).collect()
+    assert sorted((r.file[-1], r.line_no, r.value) for r in got) == [("a", 1, "1, 1"), ("a", 2, "2, 2"), ("a", 3, "3, 3"), ("b", 1, "9, 9")]
