@@ -24,7 +24,7 @@ def uniform_sample(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFra
     Samples of parts merge: the sample of a union is the sample of the samples' union. Rows of equal keys have equal
     shares; what of them stays is decided by their other columns.
     """
-    return _least(df.withColumn("_stratum", F.lit("")), hash_share(F.col(quoted(key)), seed), key, size, True, df.columns)
+    return _least(df.withColumn("_stratum", _whole_table(key)), hash_share(F.col(quoted(key)), seed), key, size, True, df.columns)
 
 
 def stratified_sample(
@@ -45,11 +45,16 @@ def weighted_sample(
     """
     rate = F.col(quoted(weight)).cast("double")
     rows = df.where((rate > 0) & (rate < float("inf"))).withColumn(
-        "_stratum", F.lit("") if label is None else F.col(quoted(label)).cast("string")
+        "_stratum", _whole_table(key) if label is None else F.col(quoted(label)).cast("string")
     )
     return _least(rows, -F.log(hash_share(F.col(quoted(key)), seed)) / rate, key, size, False, df.columns)
 
 
+def _whole_table(key: str) -> Column:
+    """An empty text in every row. A literal would turn the join with the cuts into a nested loop."""
+    return F.substring(F.coalesce(F.col(quoted(key)).cast("string"), F.lit("")), 1, 0)
+
+
 def _least(
     rows: DataFrame, priority: Column, key: str, sizes: int | Mapping[str, int], uniform: bool, columns: list[str]
 ) -> DataFrame:
