@@ -60,12 +60,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that occur twice or more go from all texts; characters that are cut in part stay.
+    """Passages that occur twice or more go from all texts; characters that are cut in part stay.
 
+    A passage is a run of bytes of repeated 200-byte strings, if it has 400 bytes or over 50 whole words. So all bytes of
+    repeated 400-byte strings go.
     All documents stay, also those without any text left; n_chars is that of the new text. Texts without repeated bytes
     stay as they are, null included.
     """
-    return cut_texts(docs, _new_scratch(spark)).select(*docs.columns)
+    return cut_texts(docs, _new_scratch(spark), length=200, over_words=50).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

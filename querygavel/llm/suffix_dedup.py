@@ -1,4 +1,5 @@
-"""Repeated passages by a suffix sort: every byte of a 400-byte string that starts anywhere else is found.
+"""Repeated passages by a suffix sort: every byte of a 400-byte string that starts anywhere else is found; callers may
+ask for another length, and the numbers below scale with it.
 
 Strings are brought together by what any two equal ones share. Each string has an anchor, its 32-byte gram of the least
 hash; strings with the same anchor and nearly the same distance to it form a slice, and all strings of a slice hold one
@@ -16,11 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, free_name, frugal, mixed, powers, prefix_hashes, slices, strings
+from querygavel.llm.common import SPACES, Scratch, documents, free_name, frugal, mixed, powers, prefix_hashes, slices, strings
 from querygavel.llm.suffix_sort import repeated
 
-LENGTH, GRAM, SLICE = 400, 32, 128
-CORE = LENGTH - SLICE + 1
+LENGTH, GRAM = 400, 32
 #: A core with more occurrences than this has its strings dealt one by one, by their own hashes.
 HOT = 1500
 _CHUNK_BYTES = 2 << 20
@@ -28,10 +28,16 @@ _CHUNK_BYTES = 2 << 20
 _HOT_STRINGS = 1 << 20
 
 
-def cut_slices(data: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
+def slice_size(length: int) -> int:
+    """Most strings of a slice, 128 for 400 bytes; their core is as much shorter than they are, less one byte."""
+    return length * 8 // 25
+
+
+def cut_slices(data: np.ndarray, sums: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """first and last start of the strings of each slice, the start of its core, and the hash of the core."""
-    n = len(data)
-    if n < LENGTH:
+    n, most = len(data), slice_size(length)
+    held = length - most + 1
+    if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     inverse = powers(n, inverse=True)
     with np.errstate(over="ignore"):
@@ -39,19 +45,19 @@ def cut_slices(data: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
     bits = np.uint64(max(24, n.bit_length()))
     low = np.uint64((1 << int(bits)) - 1)
     ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    span, width = LENGTH - GRAM + 1, 1
+    span, width = length - GRAM + 1, 1
     while 2 * width <= span:
         ranked = np.minimum(ranked[:-width], ranked[width:])
         width *= 2
-    ranked = np.minimum(ranked[: n - LENGTH + 1], ranked[span - width : span - width + n - LENGTH + 1])
+    ranked = np.minimum(ranked[: n - length + 1], ranked[span - width : span - width + n - length + 1])
     anchor = (ranked & low).astype(np.int64)
-    part = (anchor - np.arange(len(anchor))) // SLICE
+    part = (anchor - np.arange(len(anchor))) // most
     change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
     first = np.concatenate([[0], change])
     last = np.concatenate([change, [len(anchor)]]) - 1
-    core = anchor[first] - part[first] * SLICE
+    core = anchor[first] - part[first] * most
     with np.errstate(over="ignore"):
-        key = mixed((sums[core + CORE] - sums[core]) * inverse[core] + part[first].astype(np.uint64))
+        key = mixed((sums[core + held] - sums[core]) * inverse[core] + part[first].astype(np.uint64))
     return first, last, core, key
 
 
@@ -64,7 +70,7 @@ _ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("known", pa.
 _ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("n", "<i8")])
 
 
-def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], buckets: int, length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """Cores of a chunk of documents, dealt by their hash. What repeats within the chunk is known to repeat: of such a
     core one entry without an owner goes on, with their number; its owners travel with the number of the chunk."""
     task = TaskContext.get().partitionId() << 24
@@ -94,8 +100,8 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")]
             for doc_id, text_hash, text in zip(*columns, strict=True):
                 data = _bytes(text)
-                if len(data) >= LENGTH:
-                    key = cut_slices(data, prefix_hashes(data))[3]
+                if len(data) >= length:
+                    key = cut_slices(data, prefix_hashes(data), length)[3]
                     entries = np.zeros(len(key), _ENTRY)
                     entries["key"], entries["doc"], entries["text"], entries["n"] = key, doc_id, text_hash, 1
                     held.append(entries)
@@ -190,7 +196,7 @@ _FOUND_DDL = (
 )
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """The slices of repeated cores with their bytes. Slices that are the same within a batch are known to repeat; one of
     them goes on without an owner, so that others can still be compared with it. So do the strings of hot cores."""
 
@@ -210,13 +216,13 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.concatenate([[0], np.cumsum(many)]).tolist()
         for i, (doc_id, text_hash, start, _) in enumerate(held):
             if doc_id is not None:
-                for a, b in _spans(twice[at[i] : at[i + 1]], start):
+                for a, b in _spans(twice[at[i] : at[i + 1]], start, length):
                     yield row(0, doc_id, text_hash, a, b)
         for i in order[edge[:-1]].tolist():
             doc_id, text_hash, start, _ = held[owner[i]]
             start += i - at[owner[i]]
             one, two = pairs[i].tolist()
-            yield row(2, None if twice[i] or settled[i] else doc_id, text_hash, start, start + LENGTH, one, two)
+            yield row(2, None if twice[i] or settled[i] else doc_id, text_hash, start, start + length, one, two)
 
     def rows():
         for batch in batches:
@@ -226,24 +232,24 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_id, text_hash, text, keys, hot in zip(*columns, strict=True):
                 data = _bytes(text)
                 sums = prefix_hashes(data)
-                first, last, core, key = cut_slices(data, sums)
+                first, last, core, key = cut_slices(data, sums, length)
                 wanted = np.isin(key, np.frombuffer(b"".join(keys), "<u8"))
                 hot_keys = set(np.frombuffer(b"".join(hot), "<u8").tolist())
                 raw = data.tobytes()
                 for i in np.flatnonzero(wanted).tolist():
                     a, b, c, k = int(first[i]), int(last[i]), int(core[i]), int(key[i])
-                    same.setdefault((k, a - c, raw[a : b + LENGTH]), []).append((doc_id, text_hash, a, b, k in hot_keys))
+                    same.setdefault((k, a - c, raw[a : b + length]), []).append((doc_id, text_hash, a, b, k in hot_keys))
             for (k, shift, content), owners in same.items():
                 signed, many = k - (1 << 63), len(owners) > 1
                 if many:
                     for doc_id, text_hash, a, b, _ in owners:
-                        yield row(0, doc_id, text_hash, a, b + LENGTH)
+                        yield row(0, doc_id, text_hash, a, b + length)
                 doc_id, text_hash, a, b, is_hot = owners[0]
                 if not is_hot:
                     # ``stop`` is the first string's place against the core; the owner is left out when settled.
                     yield row(1, None if many else doc_id, text_hash, a, shift, signed, 0, content)
                     continue
-                held.append((None if many else doc_id, text_hash, a, np.column_stack(_string_hashes(content))))
+                held.append((None if many else doc_id, text_hash, a, np.column_stack(_string_hashes(content, length))))
                 total += b - a + 1
                 if total > _HOT_STRINGS:
                     yield from single(held)
@@ -254,42 +260,43 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from slices(rows(), _FOUND, size=lambda r: 64 + len(r["data"] or b""))
 
 
-def _string_hashes(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _string_hashes(content: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of each string in the bytes."""
     data = np.frombuffer(content, np.uint8)
     out = []
     for seed in (7, 23):
         sums = prefix_hashes(data, seed)
         with np.errstate(over="ignore"):
-            out.append(mixed((sums[LENGTH:] - sums[:-LENGTH]) * powers(len(data), inverse=True)[: len(data) - LENGTH + 1]))
+            out.append(mixed((sums[length:] - sums[:-length]) * powers(len(data), inverse=True)[: len(data) - length + 1]))
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def _spans(hit: np.ndarray, start: int) -> list[tuple[int, int]]:
+def _spans(hit: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
     """Bytes covered by the strings that are hit."""
     at = np.flatnonzero(hit)
     if not len(at):
         return []
-    cut = np.flatnonzero(np.diff(at) > LENGTH)
-    return [(start + int(a), start + int(b) + LENGTH) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]], strict=True)]
+    cut = np.flatnonzero(np.diff(at) > length)
+    return [(start + int(a), start + int(b) + length) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]], strict=True)]
 
 
 _SPAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """Sort the strings of slices that share a core, some cores at a time, and tell which are repeated."""
+    most = slice_size(length)
 
     def solved(held: list[dict]):
         sizes = np.array([len(r["data"]) for r in held])
         at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         data = np.frombuffer(b"".join(r["data"] for r in held), np.uint8)
-        many = sizes - LENGTH + 1
+        many = sizes - length + 1
         owner = np.repeat(np.arange(len(held)), many)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        shift = np.array([r["stop"] for r in held])[owner] + within + SLICE
+        shift = np.array([r["stop"] for r in held])[owner] + within + most
         number = np.unique(np.array([r["key"] for r in held]), return_inverse=True)[1]
-        segment = number[owner].astype(np.int64) * (2 * SLICE) + shift
+        segment = number[owner].astype(np.int64) * (2 * most) + shift
         order = np.argsort(segment, kind="stable")
         segment = segment[order]
         twice = np.zeros(len(segment), bool)
@@ -297,11 +304,11 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice[:-1] |= twice[1:]
         order, segment = order[twice], segment[twice]
         hit = np.zeros(len(owner), bool)
-        hit[order] = repeated(data, (at[owner] + within)[order], segment, LENGTH)
+        hit[order] = repeated(data, (at[owner] + within)[order], segment, length)
         edge = np.cumsum(many)
         for i, r in enumerate(held):
             if r["doc_id"] is not None:
-                for a, b in _spans(hit[edge[i] - many[i] : edge[i]], r["start"]):
+                for a, b in _spans(hit[edge[i] - many[i] : edge[i]], r["start"], length):
                     yield {"doc_id": r["doc_id"], "text_hash": r["text_hash"], "start": a, "stop": b}
 
     def rows():
@@ -329,18 +336,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """doc_id, text_hash, spans: for each row with repeated bytes, its maximal runs of them as (start, stop).
 
     A byte is repeated if it lies in a 400-byte string that also starts anywhere else in the table, in the same text or
     another; texts are UTF-8, null is empty, and texts under 400 bytes have none. Rows with equal doc_id and text share
-    one result, and repeat each other. doc_id null shows as the least 64-bit number.
+    one result, and repeat each other. doc_id null shows as the least 64-bit number. All this holds for another ``length``
+    from 100 on too.
     """
+    if length < 100:
+        raise ValueError("length must be 100 or more")
     keyed = _keyed(docs)
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = keyed.where(F.octet_length("text") >= LENGTH)
+    long = keyed.where(F.octet_length("text") >= length)
     answers = scratch.table(
-        long.mapInArrow(frugal(lambda it: _asked(it, buckets)), "bucket int, chunk bigint, known boolean, entries binary")
+        long.mapInArrow(frugal(lambda it: _asked(it, buckets, length)), "bucket int, chunk bigint, known boolean, entries binary")
         .groupBy("bucket")
         .applyInArrow(_answered, _ANSWER_DDL)
         .groupBy("number")
@@ -352,7 +362,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.table(
         long.join(answers.hint("merge"), ["doc_id", "text_hash"])
         .select("doc_id", "text_hash", "text", "keys", "hot")
-        .mapInArrow(frugal(_gathered), _FOUND_DDL),
+        .mapInArrow(frugal(lambda it: _gathered(it, length)), _FOUND_DDL),
         "slices",
         "kind",
     )
@@ -361,7 +371,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .select("doc_id", "text_hash", "start", "stop", "key", "data")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(frugal(_sorted), "doc_id bigint, text_hash bigint, start bigint, stop bigint")
+        .mapInArrow(frugal(lambda it: _sorted(it, length)), "doc_id bigint, text_hash bigint, start bigint, stop bigint")
     )
     strings = found.where("kind = 2")
     # A string without an owner stands for two at least.
@@ -405,11 +415,11 @@ def kept_bytes(data: Column, spans: Column) -> Column:
     return F.when(spans.isNull(), data).otherwise(done)
 
 
-def with_spans(docs: DataFrame, scratch: Scratch, name: str = "spans") -> DataFrame:
+def with_spans(docs: DataFrame, scratch: Scratch, name: str = "spans", length: int = LENGTH) -> DataFrame:
     """The rows of docs with ``spans`` (null where nothing repeats), or ``name``, added; it replaces a column of that name,
     other columns stay."""
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))]
-    spans = scratch.table(repeated_spans(docs, scratch), "spans").select(
+    spans = scratch.table(repeated_spans(docs, scratch, length), "spans").select(
         F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_text"), "spans"
     )
     row = F.struct(*[F.col(f"`{n}`") for n in docs.columns if n.lower() != name.lower()])
@@ -448,16 +458,34 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8")
 
 
-def cut_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with repeated bytes cut from ``text`` and, where there is such a column, ``n_chars`` counted anew."""
+def whole_words(data: bytes, start: int, stop: int) -> int:
+    """Words of which no byte lies outside the span."""
+    words = data[start:stop].split()
+    inside = lambda i: 0 < i < len(data) and data[i - 1] not in SPACES and data[i] not in SPACES
+    return max(0, len(words) - inside(start) - inside(stop)) if stop > start else 0
+
+
+def passages_of(text: str, spans: list[tuple[int, int]], over_words: int | None) -> list[tuple[int, int]]:
+    """The spans of LENGTH bytes or of more than ``over_words`` whole words; None: all of them."""
+    if over_words is None:
+        return spans
+    data = text.encode("utf-8")
+    return [(a, b) for a, b in spans if b - a >= LENGTH or whole_words(data, a, b) > over_words]
+
+
+def cut_texts(docs: DataFrame, scratch: Scratch, length: int = LENGTH, over_words: int | None = None) -> DataFrame:
+    """docs with repeated bytes cut from ``text`` and, where there is such a column, ``n_chars`` counted anew.
+
+    With ``over_words``, runs of repeated bytes that are under LENGTH are cut only if they hold more whole words.
+    """
     names, own = docs.columns, free_name("spans", docs.columns)
-    found = with_spans(docs, scratch, own)
+    found = with_spans(docs, scratch, own, length)
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [
-                cut_text(t, [(s["start"], s["stop"]) for s in spans]) if t and spans else t
+                cut_text(t, passages_of(t, [(s["start"], s["stop"]) for s in spans], over_words)) if t and spans else t
                 for t, spans in zip(strings(batch, "text"), batch.column(own).to_pylist(), strict=True)
             ]
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([own])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -272,3 +273,29 @@ def test_signatures_in_slices(monkeypatch):
     monkeypatch.setattr(super_minhash, "SLICE_ELEMENTS", 100)
     assert (super_minhash.set_signatures(sets) == whole).all()
     assert super_minhash.set_signatures([]).shape == (0, super_minhash.SLOTS)
+
+
+def test_short_spans_equal_brute_force(spark):
+    rows = [(d, t) for d, t in ROWS + passages() if d is not None]
+    got = suffix_dedup.with_spans(table(spark, rows, clash=False).repartition(3), Scratch(spark), length=150).collect()
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[p : p + 150] for b in texts for p in range(len(b) - 149))
+    expected = []
+    for (d, t), b in zip(rows, texts, strict=True):
+        covered = {i for p in range(len(b) - 149) if seen[b[p : p + 150]] > 1 for i in range(p, p + 150)}
+        expected.append((d, t or "", covered))
+    mine = [(r.doc_id, r.text or "", {i for s in r.spans or [] for i in range(*s)}) for r in got]
+    assert sorted(mine, key=lambda r: r[:2]) == sorted(expected, key=lambda r: r[:2])
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    letters = random.Random(4)
+    some = lambda n: " ".join("".join(letters.choices("abcdefgh", k=4)) for _ in range(n))
+    long, short = some(55), some(48)
+    assert len(long) < 400
+    rows = [(i, f"{some(30)} {(long, short, some(55))[i % 3]} {some(20)}") for i in range(9)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.cut_passages(spark, table(spark, rows, clash=False), "").collect()}
+    assert all(long not in left[i] and 48 <= len(left[i].split()) <= 50 for i in (0, 3, 6))
+    assert all(left[i] == t for i, t in rows if i % 3)
