@@ -25,6 +25,10 @@ WORD_PATTERN = r"[\p{L}\p{N}]+"
 BLOCK_DOCS = 128
 #: Blocks of the highest bounds that give a query its first floor.
 FIRST_BLOCKS = 2
+#: Blocks that are scored at once, as a power of two, the queries they are scored for, and the terms of a matrix.
+PART_BITS = 5
+PAGE_QUERIES = 256
+MATRIX_TERMS = 4096
 #: Terms that are sent to all tasks at most.
 SENT_TERMS = 100_000
 
@@ -138,6 +142,61 @@ def _gain(tf: Column, length: Column, mean_length: Column) -> Column:
     return tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * length / mean_length))
 
 
+def _totals(postings: pa.Table, needed: pa.Table, k: int, digits: int) -> pa.Table:
+    """Scores of a page of queries in a part of the index, without those that are surely under a query's k best.
+
+    ``needed`` has the terms of the queries with their weights and, with a block in place of a term, the blocks that each
+    query opens. A block's gains are a matrix of terms and documents, times that of queries and terms, some terms at a time.
+    """
+    weight_rows, pairs = needed.filter(pc.is_valid(needed["term"])), needed.filter(pc.is_valid(needed["block"]))
+    codes = lambda values, among: pc.index_in(values, value_set=among).to_numpy()
+    queries, terms = pc.unique(weight_rows["query"]), pc.unique(weight_rows["term"])
+    of_query, of_term, idf = codes(weight_rows["query"], queries), codes(weight_rows["term"], terms), weight_rows["idf"].to_numpy()
+    postings = postings.filter(pc.is_in(postings["term"], value_set=terms)).sort_by("block").combine_chunks()
+    if not postings.num_rows or not pairs.num_rows:
+        return pa.table({"query": queries.slice(0, 0), "id": pc.list_flatten(postings["docs"]).slice(0, 0), "score": pa.array([], pa.float64())})
+    mean = weight_rows["mean_length"][0].as_py()
+    opened_block, opened_query = pairs["block"].to_numpy(), codes(pairs["query"], queries)
+
+    block, row_term = postings["block"].to_numpy(), codes(postings["term"], terms)
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(postings["docs"]).to_numpy())])
+    tf, length = (pc.list_flatten(postings[n]).to_numpy() for n in ("tfs", "lengths"))
+    gain = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / mean))
+    ids = pc.list_flatten(postings["docs"]).combine_chunks()
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+    found: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+    by_block = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = ids.slice(first[a], first[b] - first[a]).dictionary_encode()
+        rows = np.sort(opened_query[opened_block == block[a]])
+        by_block.append((a, b, own.indices.to_numpy(), rows, np.zeros((len(rows), len(own.dictionary))), own.dictionary))
+    for low in range(0, len(terms), MATRIX_TERMS):
+        inside = (of_term >= low) & (of_term < low + MATRIX_TERMS)
+        weight = np.zeros((len(queries), min(MATRIX_TERMS, len(terms) - low)))
+        weight[of_query[inside], of_term[inside] - low] = idf[inside]
+        for a, b, doc, rows, sums, _ in by_block:
+            at = np.repeat(row_term[a:b], np.diff(first[a : b + 1])) - low
+            here = (at >= 0) & (at < weight.shape[1])
+            used, at = np.unique(at[here], return_inverse=True)
+            gains = np.zeros((len(used), sums.shape[1]))
+            gains[at, doc[here]] = gain[first[a] : first[b]][here]
+            sums += weight[np.ix_(rows, used)] @ gains
+    for _, _, _, rows, sums, own in by_block:
+        keep = sums > 0
+        if sums.shape[1] > k:
+            # Equal after rounding is equal: what lies a digit under the kth stays.
+            keep &= sums >= np.partition(sums, -k, axis=1)[:, -k, None] - 10.0**-digits
+        row, doc = np.nonzero(keep)
+        found.append((rows[row], sums[row, doc], own.take(pa.array(doc))))
+    return pa.table(
+        {
+            "query": queries.take(pa.array(np.concatenate([f[0] for f in found]))),
+            "id": pa.concat_arrays([f[2] for f in found]),
+            "score": np.concatenate([f[1] for f in found]),
+        }
+    )
+
+
 @dataclass(frozen=True)
 class Found:
     """``hits``: query, id, score, place. ``bounds``: query, block, bound, ``scored``, whether the block was opened."""
@@ -175,30 +234,28 @@ def search_index(index: SearchIndex, queries: DataFrame, k: int, query_id: str,
     bounds.groupBy("query", "block").agg(F.sum(most).alias("bound")).write.parquet(f"{place}/bounds")
     bounds = read("bounds")
 
+    pages = weights.select(F.ceil(F.count_distinct("query") / F.lit(PAGE_QUERIES)).alias("n")).scalar()
+
     def scored(blocks: DataFrame, name: str) -> DataFrame:
-        wanted = weights.join(blocks.select("query", "block"), "query")
-        rows = index.rows.select("block", "term", "docs", "tfs", "lengths").join(wanted, ["block", "term"])
-        sums = rows.groupBy("query", "block").applyInArrow(total, total_shape)
+        """Each part of the index meets each page of the queries once: postings travel once a page, not once a query."""
+        part, page = F.shiftright("block", PART_BITS).alias("part"), F.pmod(F.xxhash64("query"), pages).alias("page")
+        pairs = blocks.select(part, page, "query", "block")
+        asked_rows = pairs.select("part", "page", "query").distinct().join(weights, "query")
+        rows = (
+            index.rows.select("block", "term", "docs", "tfs", "lengths")
+            .join(asked.select("term").distinct(), "term", "left_semi")
+            .join(pairs.select("part", "page", "block").distinct(), "block")
+        )
+        needed = asked_rows.unionByName(pairs, allowMissingColumns=True)
+        rows = rows.withColumnsRenamed({"part": "of_part", "page": "of_page"})
+        sums = rows.groupBy("of_part", "of_page").cogroup(needed.groupBy("part", "page")).applyInArrow(total, total_shape)
         best(sums.select("query", "id", F.round("score", digits).alias("score"))).write.parquet(f"{place}/{name}")
         return read(name)
 
     total_shape = T.StructType([weights.schema["query"], T.StructField("id", index.id_type), T.StructField("score", T.DoubleType())])
 
-    def total(group: pa.Table) -> pa.Table:
-        """Scores of one query in one block, without those that are surely under its k best."""
-        docs, tf, length = (group.column(n).combine_chunks() for n in ("docs", "tfs", "lengths"))
-        sizes = pc.list_value_length(docs).to_numpy()
-        ids, tf, length = docs.flatten().dictionary_encode(), tf.flatten().to_numpy().astype(np.float64), length.flatten().to_numpy()
-        mean = group.column("mean_length")[0].as_py()
-        gain = np.repeat(group.column("idf").to_numpy(), sizes) * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / mean))
-        sums = np.bincount(ids.indices.to_numpy(zero_copy_only=False), gain, len(ids.dictionary))
-        if len(sums) > k:
-            # Equal after rounding is equal: what lies a digit under the kth stays.
-            keep = np.flatnonzero(sums >= np.partition(sums, -k)[-k] - 10.0**-digits)
-        else:
-            keep = np.arange(len(sums))
-        query = group.column("query").combine_chunks().take(pa.array(np.zeros(len(keep), np.int64)))
-        return pa.table({"query": query, "id": ids.dictionary.take(pa.array(keep)), "score": pa.array(sums[keep])})
+    def total(postings: pa.Table, needed: pa.Table) -> pa.Table:
+        return _totals(postings, needed, k, digits)
 
     def best(totals: DataFrame) -> DataFrame:
         order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))

@@ -467,3 +467,44 @@ def test_log_in_folders(spark, tmp_path):
             (tmp_path / f"run={run}" / f"part-{i}.txt").write_text("\n".join(lines) + "\n")
     got = numbered_lines(spark, str(tmp_path), whole_folders=True).collect()
     assert sorted((r.file[-1], r.line_no, r.value) for r in got) == [("a", 1, "1, 1"), ("a", 2, "2, 2"), ("a", 3, "3, 3"), ("b", 1, "9, 9")]
+
+
+def test_bm25_postings_travel_once_a_page(spark, monkeypatch):
+    from querygavel.operators import search
+
+    draw = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(draw.choices(vocabulary, k=25))) for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(draw.choices(vocabulary, k=12))) for i in range(60)], "query_id long, text string")
+    one = {tuple(r) for r in bm25_search(docs, asked, 7).collect()}
+    sizes = []
+    whole = type(docs).groupBy
+
+    def counted(self, *by):
+        if len(by) == 2 and "docs" in self.columns:
+            sizes.append(self.select(F.sum(F.size("docs"))).collect()[0][0])
+        return whole(self, *by)
+
+    monkeypatch.setattr(type(docs), "groupBy", counted)
+    assert {tuple(r) for r in bm25_search(docs, asked, 7).collect()} == one and len(one) == 420
+    # No more than the index itself in each of the two rounds, though sixty queries ask for it.
+    assert len(sizes) == 2 and max(sizes) <= 300 * 25
+    monkeypatch.setattr(search, "PAGE_QUERIES", 7)
+    monkeypatch.setattr(search, "PART_BITS", 0)
+    assert {tuple(r) for r in bm25_search(docs, asked, 7).collect()} == one
+
+
+def test_bm25_terms_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from querygavel.operators import search
+
+    postings = pa.table({"block": [1, 1, 2], "term": ["a", "b", "a"], "docs": [[5, 6], [6], [9]], "tfs": [[1, 2], [1], [3]], "lengths": [[4, 5], [5], [6]]})
+    needed = pa.table(
+        {"query": [0, 0, 1, 0, 1, 0], "term": ["a", "b", "b", None, None, None], "idf": [1.0, 2.0, 2.0, None, None, None],
+         "mean_length": [5.0] * 3 + [None] * 3, "block": pa.array([None, None, None, 1, 1, 2], pa.int64())}
+    )
+    whole = search._totals(postings, needed, 10, 6)
+    monkeypatch.setattr(search, "MATRIX_TERMS", 1)
+    assert search._totals(postings, needed, 10, 6).equals(whole)
+    assert list(zip(whole["query"].to_pylist(), whole["id"].to_pylist(), strict=True)) == [(0, 5), (0, 6), (1, 6), (0, 9)]
