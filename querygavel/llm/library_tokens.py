@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import AddedToken, Tokenizer
 
 from querygavel.llm.pretokens import StretchEncoder, le_ids
 
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 8 << 20
 #: Pre-token pattern that the library applies for byte-level files without a pattern of their own. Fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,12 +61,14 @@ class LibraryEncoder:
         letters, model, normalizer = byte_letters(), self.tokenizer.model, self.tokenizer.normalizer
 
         def encode(piece: str) -> bytes:
-            shown = piece.encode("utf-8").decode("latin-1").translate(letters)
+            # Of printable ASCII only the space has another letter.
+            plain = piece.isascii() and piece.isprintable()
+            shown = piece.replace(" ", letters[32]) if plain else piece.encode("utf-8").decode("latin-1").translate(letters)
             return le_ids([t.id for t in model.tokenize(shown)])
 
         def prepare(body: str) -> str:
             # Below U+0250 nothing composes and each letter has one lower case.
-            plain = body.isalpha() or not any(map(str.isspace, body))
+            plain = body.isalpha() or body.split() == [body]
             return body.lower() if plain and (body.isascii() or max(body) < "\u0250") else normalizer.normalize_str(body)
 
         return StretchEncoder(
@@ -77,6 +85,21 @@ class LibraryEncoder:
         known, between = self._special_ids, self.between
         return b"".join([known[part] if i % 2 else between(part) for i, part in enumerate(parts) if part])
 
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The same for each text of a column, null as empty; some of them at a time."""
+        texts = pc.fill_null(texts, "")
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        if not len(texts):
+            return
+        number = np.cumsum(size) // BATCH_BYTES
+        edge = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(texts)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            some = texts.slice(a, b - a)
+            apart = pa.array(np.zeros(len(some), bool))
+            for special in self.specials:
+                apart = pc.or_(apart, pc.match_substring(some, special))
+            yield from self.between.many(some, apart, self)
+
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str, marks: tuple[str, ...] = ()) -> LibraryEncoder:

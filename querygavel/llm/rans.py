@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, slices, strings
+from querygavel.llm.common import Scratch, documents, slices
 from querygavel.llm.library_tokens import library_encoder
 
 BLOCK_TOKENS = 1 << 18
@@ -130,7 +130,7 @@ def _wide(data: bytes, n: int) -> np.ndarray:
 
 
 def _token_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
+    encoder, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
 
     def blocks():
         file = TaskContext.get().partitionId()
@@ -148,8 +148,8 @@ def _token_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
             }
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text"), strict=True):
-                data = encode(text or "") + end
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoder.many(batch.column("text")), strict=True):
+                data += end
                 doc_ids.append(doc_id)
                 held.append(data)
                 total += len(data) // 4

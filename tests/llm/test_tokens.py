@@ -165,3 +165,25 @@ def test_pack(spark):
         assert (t, p) == (s, o + n) or (t != s and p == 0)
     assert pack(empty(spark), Scratch(spark), path, 0).count() == 0
     assert prose(1, 3) == prose(1, 3)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_column_is_encoded_like_its_texts(monkeypatch, name):
+    import pyarrow as pa
+
+    from querygavel.llm import library_tokens
+
+    path = public_tokenizers.path(name)
+    encoder, library = library_encoder(path), Tokenizer.from_file(path)
+    texts = [t for _, t in ROWS] + ["", " ", "a", " a", "a  b", "a\nb c", "x <|endoftext|> y", "İ Σας", "one two", "one two ", prose(3, 4000), "a\n\n b \nc.\nD", "\n", "x\n\u0301y \u0301z", "it\n's 'S\ns", "Ες\nΣ Σ\n", "a\t\nb"]
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 500, 1 << 22):
+        monkeypatch.setattr(library_tokens, "BATCH_BYTES", size)
+        for column in (pa.array(texts, pa.string()), pa.array(["skipped", *texts], pa.string()).slice(1)):
+            assert [np.frombuffer(b, "<u4").tolist() for b in encoder.many(column)] == expected
+    assert list(encoder.many(pa.array([], pa.string()))) == []
+    # Each stretch of a batch is looked up once, however often it occurs.
+    asked = []
+    monkeypatch.setattr(encoder.between, "get", type("Seen", (dict,), {"__missing__": lambda self, k: asked.append(k) or encoder.between._stretch(k)})().__getitem__)
+    assert list(encoder.many(pa.array(["first" + " again" * 50] * 3))) == [encoder("first") + 50 * encoder.between._stretch("again")] * 3
+    assert asked == ["again"]
