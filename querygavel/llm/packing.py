@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import Scratch, documents, frugal, slices, strings
+from querygavel.llm.common import Scratch, documents, frugal, slices
 from querygavel.llm.library_tokens import library_encoder
 
 CAPACITY = 2048
@@ -211,13 +211,13 @@ _PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids binary
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     """Pieces of documents, numbered within their task among those of the same length."""
-    encode, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
+    encoder, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
 
     def rows():
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text"), strict=True):
-                ids = encode(text or "") + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(batch.column("text")), strict=True):
+                ids += end
                 n = len(ids) // 4
                 stop = (n - 1) % capacity + 1
                 start = piece = 0
