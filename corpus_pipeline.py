@@ -13,6 +13,8 @@ from querygavel.llm.packing import pack
 from querygavel.llm.suffix_dedup import cut_texts
 from querygavel.llm.super_minhash import near_groups
 
+#: Bytes of each memory of the packing encoder: its workers live in executors that the stages before have filled.
+MEMO_BYTES = 32 << 20
 _scratch: list[Scratch] = []
 
 
@@ -73,7 +75,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset: documents in sequences of 2,048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(docs, _new_scratch(spark), path, 0, {"ids_crc32": F.crc32("ids")})
+    return pack(docs, _new_scratch(spark), path, 0, {"ids_crc32": F.crc32("ids")}, memo_bytes=MEMO_BYTES)
 
 
 #: Each stage's result is to be written before the next stage is called.

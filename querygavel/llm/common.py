@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
@@ -54,11 +55,39 @@ def give_back() -> None:
         pass  # only where the C library can
 
 
-def frugal(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
-    """A function over batches that gives memory back when its task ends."""
+#: What workers keep from task to task, by the name of the function that makes it.
+_remembered: dict[str, Callable] = {}
+
+
+def remembered(maxsize: int) -> Callable[[Callable], Callable]:
+    """Like ``lru_cache``, but workers forget the results when they turn to the task of an operator without them."""
+
+    def wrap(make: Callable) -> Callable:
+        cached = lru_cache(maxsize=maxsize)(make)
+        _remembered[make.__name__] = cached
+        return cached
+
+    return wrap
+
+
+def forget(keeps: str | None = None) -> None:
+    """Drop what this process remembers, but for the results of the function named ``keeps``."""
+    gone = [cached for name, cached in _remembered.items() if name != keeps and cached.cache_info().currsize]
+    for cached in gone:
+        cached.cache_clear()
+    if gone:
+        # Encoders and what they remember refer to each other.
+        gc.collect()
+        give_back()
+
+
+def frugal(run: Callable[..., Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function over batches that gives memory back when its task ends, and before it what other operators remember;
+    ``keeps`` names the function whose ``remembered`` results it uses."""
 
     @wraps(run)
     def wrapped(*args, **kwargs):
+        forget(keeps)
         try:
             yield from run(*args, **kwargs)
         finally:

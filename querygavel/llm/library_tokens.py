@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import AddedToken, Tokenizer
 
-from querygavel.llm.pretokens import StretchEncoder, le_ids
+from querygavel.llm.common import remembered
+from querygavel.llm.pretokens import MEMO_BYTES, StretchEncoder, le_ids
 
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 8 << 20
@@ -35,9 +36,10 @@ class LibraryEncoder:
     As there, special strings of the vocabulary inside a text are special tokens. They part the text, and what lies
     between two of them is encoded by itself. ``marks`` are further special strings, with ids after the vocabulary.
     Takes byte-level files with the usual pattern, or with a split pattern of their own after a normalizer.
+    ``most_bytes`` bounds each of the two memories of what pieces of text encode to.
     """
 
-    def __init__(self, path: str, marks: tuple[str, ...] = ()):
+    def __init__(self, path: str, marks: tuple[str, ...] = (), most_bytes: int = MEMO_BYTES):
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
         tokenizer.add_special_tokens([AddedToken(mark, special=True, normalized=False) for mark in marks])
         added = tokenizer.get_added_tokens_decoder()
@@ -47,9 +49,9 @@ class LibraryEncoder:
         self._special_ids = {text: le_ids([i]) for text, i in self.specials.items()}
         longest_first = sorted(self.specials, key=len, reverse=True)
         self._parts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
-        self.between = self._stretch_encoder(path)
+        self.between = self._stretch_encoder(path, most_bytes)
 
-    def _stretch_encoder(self, path: str) -> StretchEncoder:
+    def _stretch_encoder(self, path: str, most_bytes: int) -> StretchEncoder:
         with open(path, encoding="utf-8") as file:
             before = json.load(file)["pre_tokenizer"]
         parts = before.get("pretokenizers", [before])
@@ -76,6 +78,7 @@ class LibraryEncoder:
             regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL).findall,
             prepare if normalizer else None,
             spaced=split is None,
+            most_bytes=most_bytes,
         )
 
     def __call__(self, text: str) -> bytes:
@@ -101,6 +104,6 @@ class LibraryEncoder:
             yield from self.between.many(some, apart, self)
 
 
-@lru_cache(maxsize=4)
-def library_encoder(path: str, marks: tuple[str, ...] = ()) -> LibraryEncoder:
-    return LibraryEncoder(path, marks)
+@remembered(maxsize=4)
+def library_encoder(path: str, marks: tuple[str, ...] = (), most_bytes: int = MEMO_BYTES) -> LibraryEncoder:
+    return LibraryEncoder(path, marks, most_bytes)

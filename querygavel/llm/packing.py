@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from querygavel.llm.common import Scratch, documents, frugal, slices
 from querygavel.llm.library_tokens import library_encoder
+from querygavel.llm.pretokens import MEMO_BYTES
 
 CAPACITY = 2048
 #: Dynamic programs for each linear program, the share of a length that one may cover, the fall of a covered length's
@@ -209,9 +210,11 @@ _PIECES = pa.schema(
 _PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids binary, task int, number bigint"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
+def _cut(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, memo_bytes: int = MEMO_BYTES
+) -> Iterator[pa.RecordBatch]:
     """Pieces of documents, numbered within their task among those of the same length."""
-    encoder, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
+    encoder, end = library_encoder(path, most_bytes=memo_bytes), np.array([end_id], "<u4").tobytes()
 
     def rows():
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
@@ -239,6 +242,7 @@ def pack(
     end_id: int,
     keep: dict[str, Column] | None = None,
     capacity: int = CAPACITY,
+    memo_bytes: int = MEMO_BYTES,
 ) -> DataFrame:
     """doc_id, piece, start, length, what ``keep`` makes of the ids, sequence_id and offset, one row for each piece.
 
@@ -248,12 +252,13 @@ def pack(
     are left out; an empty table gives no rows.
 
     Pieces are numbered by task and length, and a table of counts for each task and length tells how many came before:
-    no length, however common, is gathered anywhere.
+    no length, however common, is gathered anywhere. ``memo_bytes`` bounds each of the two memories of a worker's encoder;
+    it changes time and memory, never the rows.
     """
     keep = keep or {"ids": F.col("ids")}
     pieces = scratch.table(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            frugal(lambda it: _cut(it, path, end_id, capacity)), _PIECES_DDL
+            frugal(lambda it: _cut(it, path, end_id, capacity, memo_bytes), keeps="library_encoder"), _PIECES_DDL
         ),
         "pieces",
         codec="zstd",

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Marks that stand alone as one pre-token after letters.
 MARKS = frozenset(",.;:!?")
+#: Bytes that an encoder remembers of pre-tokens, and as many of stretches.
+MEMO_BYTES = 96 << 20
 
 
 def stretches(text: str) -> list[str]:
@@ -81,7 +83,7 @@ class StretchEncoder:
         pieces: Callable[[str], list[str]],
         prepare: Callable[[str], str] | None = None,
         spaced: bool = True,
-        most_bytes: int = 96 << 20,
+        most_bytes: int = MEMO_BYTES,
     ):
         self.pieces, self.prepare, self.space = pieces, prepare, " " if spaced else ""
         self.piece_memo = Memo(encode, most_bytes, keep=False)

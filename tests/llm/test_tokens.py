@@ -1,5 +1,6 @@
 import base64
 import sys
+import weakref
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from querygavel.llm import byte_bpe, packing, rans
-from querygavel.llm.common import Scratch
+from querygavel.llm.common import Scratch, frugal
 from querygavel.llm.library_tokens import library_encoder
 from querygavel.llm.packing import _best_fit, pack, places, solve
 from querygavel.llm.perfect_hash import PerfectHash
@@ -187,3 +188,22 @@ def test_a_column_is_encoded_like_its_texts(monkeypatch, name):
     monkeypatch.setattr(encoder.between, "get", type("Seen", (dict,), {"__missing__": lambda self, k: asked.append(k) or encoder.between._stretch(k)})().__getitem__)
     assert list(encoder.many(pa.array(["first" + " again" * 50] * 3))) == [encoder("first") + 50 * encoder.between._stretch("again")] * 3
     assert asked == ["again"]
+
+
+def test_workers_forget_what_other_operators_remember():
+    path, idle = public_tokenizers.path("byte_bpe_50k.json"), lambda it: it
+    encoder = library_encoder(path)
+    encoder("some words to remember")
+    list(frugal(idle, keeps="library_encoder")(iter([])))
+    assert library_encoder(path) is encoder
+    gone = weakref.ref(encoder)
+    del encoder
+    list(frugal(idle)(iter([])))
+    assert gone() is None
+
+
+def test_little_memory_changes_no_ids():
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), prose(5, 400)
+    small = library_encoder(path, most_bytes=2000)
+    assert small(text) == library_encoder(path)(text)
+    assert max(small.between.memo.bytes, small.between.piece_memo.bytes) <= 2000
