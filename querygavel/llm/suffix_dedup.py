@@ -9,6 +9,7 @@ as suffixes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygavel.llm.common import SPACES, Scratch, documents, free_name, frugal, mixed, powers, prefix_hashes, slices, strings
+from querygavel.llm.common import SPACES, Scratch, documents, free_name, frugal, mixed, powers, prefix_hashes, record_batch, slices, strings
 from querygavel.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 400, 32
+#: Passages are sought by strings of this length; shorter ones than LENGTH count if they have more whole words than this.
+PASSAGE, OVER_WORDS = 200, 50
 #: A core with more occurrences than this has its strings dealt one by one, by their own hashes.
 HOT = 1500
 _CHUNK_BYTES = 2 << 20
@@ -178,6 +181,23 @@ def _resolved(group):
     return _answer_table(out)
 
 
+def _columns(rows: Iterator[tuple], schema: pa.Schema, size, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Pack tuples in the schema's order into batches of bounded size."""
+    held, total = [], 0
+
+    def batch():
+        return record_batch(schema, dict(zip(schema.names, zip(*held, strict=True), strict=True)))
+
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total >= most_bytes or len(held) >= 10_000:
+            yield batch()
+            held, total = [], 0
+    if held:
+        yield batch()
+
+
 #: kind 0: bytes known to repeat; 1: a slice with its bytes; 2: one string of a hot core, by two hashes.
 _FOUND = pa.schema(
     [
@@ -201,7 +221,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
     them goes on without an owner, so that others can still be compared with it. So do the strings of hot cores."""
 
     def row(kind, doc_id, text_hash, start, stop, key=0, other=0, data=None):
-        return dict(zip(_FOUND.names, (kind, doc_id, text_hash, start, stop, key, other, data), strict=True))
+        return kind, doc_id, text_hash, start, stop, key, other, data
 
     def single(held: list[tuple]):
         """Strings of hot cores: slices as (doc_id, text_hash, start, hashes); doc_id null where settled."""
@@ -236,8 +256,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
                 wanted = np.isin(key, np.frombuffer(b"".join(keys), "<u8"))
                 hot_keys = set(np.frombuffer(b"".join(hot), "<u8").tolist())
                 raw = data.tobytes()
-                for i in np.flatnonzero(wanted).tolist():
-                    a, b, c, k = int(first[i]), int(last[i]), int(core[i]), int(key[i])
+                for a, b, c, k in zip(*[x[wanted].tolist() for x in (first, last, core, key)], strict=True):
                     same.setdefault((k, a - c, raw[a : b + length]), []).append((doc_id, text_hash, a, b, k in hot_keys))
             for (k, shift, content), owners in same.items():
                 signed, many = k - (1 << 63), len(owners) > 1
@@ -257,7 +276,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
             if held:
                 yield from single(held)
 
-    yield from slices(rows(), _FOUND, size=lambda r: 64 + len(r["data"] or b""))
+    yield from _columns(rows(), _FOUND, size=lambda r: 64 + len(r[-1] or b""))
 
 
 def _string_hashes(content: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,18 +303,30 @@ _SPAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start",
 
 
 def _sorted(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """Sort the strings of slices that share a core, some cores at a time, and tell which are repeated."""
+    """Sort the strings of slices that share a core, some cores at a time, and tell which are repeated. Of equal slices,
+    whose strings all are, one goes into the sort, if its core has others."""
     most = slice_size(length)
 
-    def solved(held: list[dict]):
-        sizes = np.array([len(r["data"]) for r in held])
+    def solved(held: dict[tuple, list[tuple]]):
+        cores = Counter(key for key, _, _ in held)
+        left = []
+        for (key, shift, content), owners in held.items():
+            if len(owners) > 1:
+                for doc_id, text_hash, start in owners:
+                    if doc_id is not None:
+                        yield doc_id, text_hash, start, start + len(content)
+            if cores[key] > 1:
+                left.append((key, shift, content, owners[0] if len(owners) == 1 else (None, None, None)))
+        if not left:
+            return
+        sizes = np.array([len(content) for _, _, content, _ in left])
         at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        data = np.frombuffer(b"".join(r["data"] for r in held), np.uint8)
+        data = np.frombuffer(b"".join([content for _, _, content, _ in left]), np.uint8)
         many = sizes - length + 1
-        owner = np.repeat(np.arange(len(held)), many)
+        owner = np.repeat(np.arange(len(left)), many)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        shift = np.array([r["stop"] for r in held])[owner] + within + most
-        number = np.unique(np.array([r["key"] for r in held]), return_inverse=True)[1]
+        shift = np.array([shift for _, shift, _, _ in left])[owner] + within + most
+        number = np.unique(np.array([key for key, _, _, _ in left]), return_inverse=True)[1]
         segment = number[owner].astype(np.int64) * (2 * most) + shift
         order = np.argsort(segment, kind="stable")
         segment = segment[order]
@@ -306,24 +337,31 @@ def _sorted(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator
         hit = np.zeros(len(owner), bool)
         hit[order] = repeated(data, (at[owner] + within)[order], segment, length)
         edge = np.cumsum(many)
-        for i, r in enumerate(held):
-            if r["doc_id"] is not None:
-                for a, b in _spans(hit[edge[i] - many[i] : edge[i]], r["start"], length):
-                    yield {"doc_id": r["doc_id"], "text_hash": r["text_hash"], "start": a, "stop": b}
+        for i, (_, _, _, (doc_id, text_hash, start)) in enumerate(left):
+            if doc_id is not None:
+                for a, b in _spans(hit[edge[i] - many[i] : edge[i]], start, length):
+                    yield doc_id, text_hash, a, b
 
     def rows():
-        held, total = [], 0
+        held: dict[tuple, list[tuple]] = {}
+        total, last = 0, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if total > _CHUNK_BYTES and r["key"] != held[-1]["key"]:
+            columns = [batch.column(c).to_pylist() for c in ("key", "stop", "data", "doc_id", "text_hash", "start")]
+            for key, shift, content, *owner in zip(*columns, strict=True):
+                if total > _CHUNK_BYTES and key != last:
                     yield from solved(held)
-                    held, total = [], 0
-                held.append(r)
-                total += len(r["data"])
+                    held, total = {}, 0
+                last = key
+                owners = held.get((key, shift, content))
+                if owners is None:
+                    owners = held[key, shift, content] = []
+                    total += len(content)
+                owners.append(tuple(owner))
+                total += 16
         if held:
             yield from solved(held)
 
-    yield from slices(rows(), _SPAN, size=lambda r: 64)
+    yield from _columns(rows(), _SPAN, size=lambda r: 64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -428,18 +466,72 @@ def with_spans(docs: DataFrame, scratch: Scratch, name: str = "spans", length: i
     return named.join(spans.hint("merge"), ["span_doc", "span_text"], "left").select("row.*", F.col("spans").alias(name))
 
 
+def passages(docs: DataFrame, scratch: Scratch, length: int = PASSAGE, over_words: int = OVER_WORDS) -> DataFrame:
+    """doc_id, text_hash, n_passages, n_passage_bytes, text for each row with repeated ``length``-byte strings.
+
+    A passage is a maximal run of bytes of such strings that has LENGTH bytes or more than ``over_words`` whole words.
+    ``text`` is there only if a run has LENGTH bytes: no other text can hold a repeated string of that length, since all
+    shorter strings in it repeat too.
+    """
+    own = Scratch(docs.sparkSession)
+    runs = scratch.table(repeated_spans(docs, own, length), "runs")
+    own.drop()
+    kinds = "doc_id bigint, text_hash bigint, n_passages bigint, n_passage_bytes bigint, text string"
+
+    def counted(batches):
+        for batch in batches:
+            texts = strings(batch, "text")
+            runs = [[(s["start"], s["stop"]) for s in spans] for spans in batch.column("spans").to_pylist()]
+            found = [[b - a for a, b in passages_of(t, r, over_words)] for t, r in zip(texts, runs, strict=True)]
+            wide = [any(b - a >= LENGTH for a, b in r) for r in runs]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_hash"),
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([sum(f) for f in found], pa.int64()),
+                    pa.array([t if w else None for t, w in zip(texts, wide, strict=True)], pa.string()),
+                ],
+                names=["doc_id", "text_hash", "n_passages", "n_passage_bytes", "text"],
+            )
+
+    keyed = _keyed(docs).join(runs.hint("merge"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans")
+    return scratch.table(keyed.mapInArrow(frugal(counted), kinds), "passages")
+
+
 def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What removing repeated passages leaves of each document; ``changed`` where any byte went."""
-    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return with_spans(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark)).select(
+    """What removing repeated 400-byte strings leaves of each document; ``changed`` where any byte went.
+
+    ``n_passages`` and ``n_passage_bytes`` tell of the repeated passages that have 400 bytes or over 50 whole words,
+    shorter ones than are removed included; ``has_passage`` where there is any.
+    """
+    docs, scratch = documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark)
+    found = passages(docs, scratch)
+    own = Scratch(spark)
+    spans = scratch.table(repeated_spans(found.where("text IS NOT NULL").select("doc_id", "text"), own), "spans")
+    own.drop()
+    keys = ["doc_id", "text_hash"]
+    numbers = found.groupBy(*keys).agg(F.max("n_passages").alias("n_passages"), F.max("n_passage_bytes").alias("n_passage_bytes"))
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("span_doc"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("span_text"),
+        "doc_id",
+        "text",
+    )
+    for table in (spans, numbers):
+        other = table.withColumnsRenamed({"doc_id": "span_doc", "text_hash": "span_text"})
+        named = named.join(other.hint("merge"), ["span_doc", "span_text"], "left")
+    data, none = F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.lit(0).cast("long")
+    return named.select(
         "doc_id",
         F.octet_length(data).cast("long").alias("n_bytes"),
-        F.coalesce(
-            F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"]), F.lit(0).cast("long")
-        ).alias("n_removed"),
+        F.coalesce(F.aggregate("spans", none, lambda t, s: t + s["stop"] - s["start"]), none).alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         (F.coalesce(F.size("spans"), F.lit(0)) > 0).alias("changed"),
         F.sha2(kept_bytes(data, F.col("spans")), 256).alias("kept_sha256"),
+        F.coalesce("n_passages", none).alias("n_passages"),
+        F.coalesce("n_passage_bytes", none).alias("n_passage_bytes"),
+        (F.coalesce("n_passages", none) > 0).alias("has_passage"),
     )
 
 

@@ -299,3 +299,43 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     left = {r.doc_id: r.text for r in corpus_pipeline.cut_passages(spark, table(spark, rows, clash=False), "").collect()}
     assert all(long not in left[i] and 48 <= len(left[i].split()) <= 50 for i in (0, 3, 6))
     assert all(left[i] == t for i, t in rows if i % 3)
+
+
+def brute_passages(text, others):
+    """Bytes of runs of 200-byte strings that start twice, if a run has 400 bytes or over 50 whole words."""
+    data, all_ = text.encode(), [o.encode() for o in others]
+    hit = np.zeros(len(data) + 2, bool)
+    for p in range(len(data) - 199):
+        part = data[p : p + 200]
+        if sum(len(re.findall(b"(?=" + re.escape(part) + b")", o)) for o in all_) > 1:
+            hit[p + 1 : p + 201] = True
+    edge = np.flatnonzero(hit[1:] != hit[:-1]).tolist()
+    marks = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    whole = lambda a, b: sum(a <= x and y <= b for x, y in marks)
+    return [b - a for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= 400 or whole(a, b) > 50]
+
+
+def test_query_tells_of_passages_under_400_bytes(spark, tmp_path):
+    short, few = " ".join("abcde"[: 2 + i % 4] + str(i % 7) for i in range(60)), "longword" * 30 + " of few words here"
+    long, alone = prose(70, 120), prose(71, 40)
+    assert len(short) < 400 and len(few) < 400 < len(long)
+    rows = [(1, f"one {short} end"), (2, f"two {short}"), (3, f"{few} x"), (4, f"y {few}"), (5, f"{long} {alone}"), (6, f"z {long}")]
+    rows += [(7, f"{short} between {long}"), (8, alone), (9, None), (None, short), (8, alone), (10, "x" * 150)]
+    got = suffix_dedup.passages_removed(spark, save_documents(spark, tmp_path, rows)).collect()
+    texts = [t or "" for _, t in rows]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    expected = [(d, len(brute_passages(t, texts)), sum(brute_passages(t, texts))) for t, (d, _) in zip(texts, rows, strict=True)]
+    assert sorted([(r.doc_id, r.n_passages, r.n_passage_bytes) for r in got], key=key) == sorted(expected, key=key)
+    assert all(r.has_passage == (r.n_passages > 0) for r in got)
+    assert {r.doc_id for r in got if r.has_passage and not r.changed} == {1, 2, None}
+    removed = {(d, b"".join(t.encode()[a:b] for a, b in spans)) for d, t, spans in brute_spans([(d, t or "") for d, t in rows])}
+    assert {(r.doc_id, r.n_removed) for r in got} == {(d, len(x)) for d, x in removed}
+
+
+def test_equal_slices_meet_others_in_the_sort(spark):
+    """Copies are settled without the sort; a text that shares only a part of them still finds it."""
+    one, two = prose(80, 300), prose(81, 300)
+    rows = [(i, one) for i in range(5)] + [(10, one[100:900] + two), (11, two[200:800] + "!")]
+    got = suffix_dedup.with_spans(table(spark, rows, clash=False).repartition(5), Scratch(spark)).collect()
+    mine = sorted((r.doc_id, r.text, [tuple(s) for s in r.spans or []]) for r in got)
+    assert mine == sorted(brute_spans(rows))
