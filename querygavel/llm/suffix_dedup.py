@@ -223,7 +223,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
     def row(kind, doc_id, text_hash, start, stop, key=0, other=0, data=None):
         return kind, doc_id, text_hash, start, stop, key, other, data
 
-    def single(held: list[tuple]):
+    def single(held: list[tuple], settled_spans: dict[tuple, list[tuple]]):
         """Strings of hot cores: slices as (doc_id, text_hash, start, hashes); doc_id null where settled."""
         many = [len(h[3]) for h in held]
         pairs = np.concatenate([h[3] for h in held])
@@ -236,8 +236,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
         at = np.concatenate([[0], np.cumsum(many)]).tolist()
         for i, (doc_id, text_hash, start, _) in enumerate(held):
             if doc_id is not None:
-                for a, b in _spans(twice[at[i] : at[i + 1]], start, length):
-                    yield row(0, doc_id, text_hash, a, b)
+                settled_spans.setdefault((doc_id, text_hash), []).extend(_spans(twice[at[i] : at[i + 1]], start, length))
         for i in order[edge[:-1]].tolist():
             doc_id, text_hash, start, _ = held[owner[i]]
             start += i - at[owner[i]]
@@ -248,6 +247,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
         for batch in batches:
             held, total = [], 0
             same: dict[tuple, list[tuple]] = {}
+            settled_spans: dict[tuple, list[tuple]] = {}
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "keys", "hot")]
             for doc_id, text_hash, text, keys, hot in zip(*columns, strict=True):
                 data = _bytes(text)
@@ -262,7 +262,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
                 signed, many = k - (1 << 63), len(owners) > 1
                 if many:
                     for doc_id, text_hash, a, b, _ in owners:
-                        yield row(0, doc_id, text_hash, a, b + length)
+                        settled_spans.setdefault((doc_id, text_hash), []).append((a, b + length))
                 doc_id, text_hash, a, b, is_hot = owners[0]
                 if not is_hot:
                     # ``stop`` is the first string's place against the core; the owner is left out when settled.
@@ -271,14 +271,28 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
                 held.append((None if many else doc_id, text_hash, a, np.column_stack(_string_hashes(content, length))))
                 total += b - a + 1
                 if total > _HOT_STRINGS:
-                    yield from single(held)
+                    yield from single(held, settled_spans)
                     held, total = [], 0
             if held:
-                yield from single(held)
+                yield from single(held, settled_spans)
+            for owner, spans in settled_spans.items():
+                for a, b in _runs(spans):
+                    yield row(0, *owner, a, b)
 
     yield from _columns(rows(), _FOUND, size=lambda r: 64 + len(r[-1] or b""))
 
 
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch as one; in order."""
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(b, runs[-1][1])
+        else:
+            runs.append((a, b))
+    return runs
+
+
 def _string_hashes(content: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of each string in the bytes."""
     data = np.frombuffer(content, np.uint8)
@@ -466,37 +480,41 @@ def with_spans(docs: DataFrame, scratch: Scratch, name: str = "spans", length: i
     return named.join(spans.hint("merge"), ["span_doc", "span_text"], "left").select("row.*", F.col("spans").alias(name))
 
 
+_TOLD_DDL = "doc_id bigint, n_bytes bigint, kept_sha256 string, n_passages bigint, n_passage_bytes bigint, text string"
+
+
 def passages(docs: DataFrame, scratch: Scratch, length: int = PASSAGE, over_words: int = OVER_WORDS) -> DataFrame:
-    """doc_id, text_hash, n_passages, n_passage_bytes, text for each row with repeated ``length``-byte strings.
+    """doc_id, n_bytes, kept_sha256, n_passages, n_passage_bytes, text, one row for each document.
 
-    A passage is a maximal run of bytes of such strings that has LENGTH bytes or more than ``over_words`` whole words.
-    ``text`` is there only if a run has LENGTH bytes: no other text can hold a repeated string of that length, since all
-    shorter strings in it repeat too.
+    A passage is a maximal run of bytes of repeated ``length``-byte strings that has LENGTH bytes or more than
+    ``over_words`` whole words. ``text`` is there only if a run has LENGTH bytes: no other text can hold a repeated string
+    of that length, since all shorter strings in it repeat too. The others have the digest of their whole text.
     """
-    own = Scratch(docs.sparkSession)
-    runs = scratch.table(repeated_spans(docs, own, length), "runs")
-    own.drop()
-    kinds = "doc_id bigint, text_hash bigint, n_passages bigint, n_passage_bytes bigint, text string"
+    own, text = Scratch(docs.sparkSession), F.coalesce("text", F.lit(""))
+    wide = F.coalesce(F.exists("runs", lambda s: s["stop"] - s["start"] >= LENGTH), F.lit(False))
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), own, "runs", length).select(
+        "doc_id",
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        F.when(~wide, F.sha2(F.encode(text, "utf-8"), 256)).alias("kept_sha256"),
+        F.when(F.col("runs").isNotNull(), text).alias("text"),
+        "runs",
+    )
 
     def counted(batches):
         for batch in batches:
-            texts = strings(batch, "text")
-            runs = [[(s["start"], s["stop"]) for s in spans] for spans in batch.column("spans").to_pylist()]
-            found = [[b - a for a, b in passages_of(t, r, over_words)] for t, r in zip(texts, runs, strict=True)]
-            wide = [any(b - a >= LENGTH for a, b in r) for r in runs]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text_hash"),
-                    pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([sum(f) for f in found], pa.int64()),
-                    pa.array([t if w else None for t, w in zip(texts, wide, strict=True)], pa.string()),
-                ],
-                names=["doc_id", "text_hash", "n_passages", "n_passage_bytes", "text"],
-            )
-
-    keyed = _keyed(docs).join(runs.hint("merge"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans")
-    return scratch.table(keyed.mapInArrow(frugal(counted), kinds), "passages")
+            texts, found = strings(batch, "text"), []
+            for i, (text, spans) in enumerate(zip(texts, batch.column("runs").to_pylist(), strict=True)):
+                runs = [(s["start"], s["stop"]) for s in spans or []]
+                found.append([b - a for a, b in passages_of(text, runs, over_words)] if runs else [])
+                if not any(b - a >= LENGTH for a, b in runs):
+                    texts[i] = None
+            numbers = [pa.array([f(x) for x in found], pa.int64()) for f in (len, sum)]
+            columns = [*[batch.column(c) for c in ("doc_id", "n_bytes", "kept_sha256")], *numbers, pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _TOLD_DDL.split(", ")])
+
+    told = scratch.table(rows.mapInArrow(frugal(counted), _TOLD_DDL), "passages")
+    own.drop()
+    return told
 
 
 def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,33 +523,27 @@ def passages_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``n_passages`` and ``n_passage_bytes`` tell of the repeated passages that have 400 bytes or over 50 whole words,
     shorter ones than are removed included; ``has_passage`` where there is any.
     """
-    docs, scratch = documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark)
-    found = passages(docs, scratch)
-    own = Scratch(spark)
-    spans = scratch.table(repeated_spans(found.where("text IS NOT NULL").select("doc_id", "text"), own), "spans")
-    own.drop()
-    keys = ["doc_id", "text_hash"]
-    numbers = found.groupBy(*keys).agg(F.max("n_passages").alias("n_passages"), F.max("n_passage_bytes").alias("n_passage_bytes"))
-    named = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("span_doc"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("span_text"),
-        "doc_id",
-        "text",
+    scratch = Scratch(spark)
+    told = passages(documents(spark, sf_dir).select("doc_id", "text"), scratch)
+    data, none = F.encode("text", "utf-8"), F.lit(0).cast("long")
+    cut = with_spans(told.where("text IS NOT NULL"), scratch).withColumns(
+        {
+            "n_removed": F.coalesce(F.aggregate("spans", none, lambda t, s: t + s["stop"] - s["start"]), none),
+            "n_spans": F.coalesce(F.size("spans"), F.lit(0)).cast("long"),
+            "kept_sha256": F.sha2(kept_bytes(data, F.col("spans")), 256),
+        }
     )
-    for table in (spans, numbers):
-        other = table.withColumnsRenamed({"doc_id": "span_doc", "text_hash": "span_text"})
-        named = named.join(other.hint("merge"), ["span_doc", "span_text"], "left")
-    data, none = F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.lit(0).cast("long")
-    return named.select(
+    whole = told.where("text IS NULL").withColumns({"n_removed": none, "n_spans": none})
+    return cut.drop("spans").unionByName(whole).select(
         "doc_id",
-        F.octet_length(data).cast("long").alias("n_bytes"),
-        F.coalesce(F.aggregate("spans", none, lambda t, s: t + s["stop"] - s["start"]), none).alias("n_removed"),
-        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-        (F.coalesce(F.size("spans"), F.lit(0)) > 0).alias("changed"),
-        F.sha2(kept_bytes(data, F.col("spans")), 256).alias("kept_sha256"),
-        F.coalesce("n_passages", none).alias("n_passages"),
-        F.coalesce("n_passage_bytes", none).alias("n_passage_bytes"),
-        (F.coalesce("n_passages", none) > 0).alias("has_passage"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        (F.col("n_spans") > 0).alias("changed"),
+        "kept_sha256",
+        "n_passages",
+        "n_passage_bytes",
+        (F.col("n_passages") > 0).alias("has_passage"),
     )
 
 
