@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,73 @@ def test_top_k_of_nothing(spark):
     assert kd_topk.top_k(vectors, vectors, Scratch(spark)).count() == 0
 
 
+def test_top_k_hands_small_rows_to_python(spark, monkeypatch):
+    """Arrow batches are cut by rows alone, so a row with a whole tree in it makes batches beyond what a process can hold."""
+    monkeypatch.setattr(kd_topk, "SHARD_ROWS", 400)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(4000)]
+    vectors = kd_topk.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding")
+    total, over = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    handed = type(vectors).mapInArrow
+
+    def counted(df, run, *rest):
+        def watched(batches):
+            def seen():
+                for batch in batches:
+                    total.add(batch.nbytes)
+                    over.add(sum(batch.slice(i, 1).nbytes > 2 * 4096 for i in range(len(batch))))
+                    yield batch
+
+            yield from run(seen())
+
+        return handed(df, watched, *rest)
+
+    monkeypatch.setattr(type(vectors), "mapInArrow", counted)
+    got = kd_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), Scratch(spark), 5).collect()
+    whole = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    for q in range(0, 4000, 50):
+        scores = whole @ whole[q]
+        scores[q] = scores.min() - 1
+        best = sorted(range(4000), key=lambda i: (-scores[i], i))[:5]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) == [(n, i, scores[i]) for n, i in enumerate(best, 1)]
+    # Before, each of the 90 pairs of shards had a tree of its own: 0.3 MB each.
+    assert over.value == 0 and total.value < 6_000_000
+
+
+def test_nearest_of_odd_vectors_like_sql(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(300)]
+    rows += [(400 + i, [0.25, -0.5]) for i in range(120)] + [(600 + 25 * i, []) for i in range(9)]
+    rows += [(1000, [float("nan"), 1.0]), (1050, [float("-inf"), 1.0]), (1100, None), (1150, [None, 1.0]), (1200, [0.5]), (-50, [3e5, 1.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1])
+    got = sorted((tuple(r) for r in kd_topk.nearest(spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted(con.sql(kd_topk.NEAREST_SQL).fetchall(), key=key)
+
+
+def test_trees_give_the_best_in_any_numbers():
+    rng = np.random.default_rng(7)
+    for trial in range(25):
+        n, dim, most = int(rng.integers(1, 500)), int(rng.integers(1, 8)), [2, 100, 2**14, 2**20, 2**29][trial % 5]
+        vectors = rng.integers(-most, most + 1, (n, dim))
+        if trial % 3 == 0:
+            vectors[rng.random(n) < 0.5] = vectors[0]
+        ids, shards = rng.permutation(10 * n)[:n], 3
+        trees = [kd_topk.Tree.build(ids[ids % shards == s], vectors[ids % shards == s], s) for s in range(shards) if (ids % shards == s).any()]
+        asked = np.arange(0, n, 3)
+        block = kd_topk.Block(
+            5, ids[asked], np.full(len(asked), kd_topk.NONE), np.full(len(asked), kd_topk.NOBODY), ids[asked] % shards, vectors[asked]
+        )
+        block.search([kd_topk.Tree.load(tree.dump()) for tree in trees])
+        hits = list(zip(*(x.tolist() for x in block.hits()[:3]), strict=True))
+        for q in asked.tolist():
+            scores = (vectors @ vectors[q]).tolist()
+            best = sorted((-s, i) for s, i in zip(scores, ids.tolist(), strict=True) if i != ids[q])[:5]
+            assert sorted((-s, i) for asker, i, s in hits if asker == ids[q]) == best
+
+
 def test_products_are_exact_beyond_doubles():
     a = np.array([[2**40 + 1, 3]])
     assert kd_topk._products(a, np.array([[2**20 + 1, 1]])).tolist() == [[(2**40 + 1) * (2**20 + 1) + 3]]
